@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontam, quota, weights
+from lodeworks.llm import decontam, packing, quota, weights
 from lodeworks.sources.tables import table
 
 
@@ -32,6 +32,31 @@ def p5_found(spark, sf_dir):
     return weights.top_terms(*weights.term_weights(table(spark, sf_dir, "preprocessed_dataset_kijiji"), local="tf", min_df=2))
 
 
+#: Vocabulary of the public byte-level BPE that p6_pack_bpe measures with.
+BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _packed(spark, sf_dir):
+    return packing.pack(packing.sized_by_words(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+
+
+def p6_pack(spark, sf_dir):
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_pack_bpe(spark, sf_dir):
+    items = packing.sized_by_bpe(table(spark, sf_dir, "documents"), BPE)
+    return packing.pack(items, table(spark, sf_dir, "containers")).withColumnRenamed("id", "doc_id")
+
+
+def p6_certificate(spark, sf_dir):
+    return packing.certificate(_packed(spark, sf_dir))
+
+
+def p6_found(spark, sf_dir):
+    return packing.cut_items(_packed(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def p7_found(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -40,7 +65,7 @@ def p7_cleaned(spark, sf_dir):
     return decontam.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p2_report, p2_found, p5_weights, p5_found, p7_found, p7_cleaned)}
+QUERIES = {f.__name__: f for f in (p2_sample, p2_report, p2_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _TERMS = """
@@ -54,6 +79,8 @@ dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY ALL),
 total AS (SELECT count(DISTINCT record) AS n FROM tfs)
 """
 SQL = {
+    "p6_found": """SELECT DISTINCT container, doc_id FROM documents JOIN containers
+        ON length(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) > capacity_tokens""",
     "p2_found": f"""
         WITH eligible AS (SELECT DISTINCT idx, {_CATEGORY} AS category FROM lyrics
                           WHERE length(regexp_replace(lyrics, '^\\s+|\\s+$', '', 'g')) > 10),

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontam, packing, quota, weights
+from lodeworks.llm import decontam, neardup, packing, quota, weights
 from lodeworks.sources.tables import table
 
 
+#: Shingles of ten characters, similarity and least length of an ad's description.
+ADS = {"key": "links", "text": "descriptions", "shingle": 10, "threshold": 0.7, "min_chars": 80}
+
+
+def p1_found(spark, sf_dir):
+    pairs = neardup.similar_pairs(table(spark, sf_dir, "dataset_kijiji_cleared"), **ADS)
+    return pairs.select(F.col("a").alias("link_a"), F.col("b").alias("link_b"))
+
+
+def p1_classes(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "dataset_kijiji_cleared"), **ADS).withColumnRenamed("id", "link")
+
+
 def p2_sample(spark, sf_dir):
     sample, report = quota.sample_by_targets(table(spark, sf_dir, "lyrics"), table(spark, sf_dir, "genre_targets"))
     names = report.groupBy("set_id", "category").agg(F.min("genre").alias("genre"))
@@ -65,7 +78,7 @@ def p7_cleaned(spark, sf_dir):
     return decontam.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p2_report, p2_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _TERMS = """

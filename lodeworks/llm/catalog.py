@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontam, neardup, packing, quota, weights
+from lodeworks.llm import decontam, langid, neardup, packing, quota, weights
 from lodeworks.sources.tables import table
 
 
@@ -36,6 +36,23 @@ def p2_found(spark, sf_dir):
     return p2_report(spark, sf_dir).filter("shortfall > 0").select("set_id", "genre").distinct()
 
 
+def _stanzas(spark, sf_dir):
+    return langid.stanza_languages(table(spark, sf_dir, "lyrics"), table(spark, sf_dir, "lyrics_labels"))
+
+
+def p3_stanzas(spark, sf_dir):
+    return _stanzas(spark, sf_dir).select("idx", "stanza", "lang", "confidence")
+
+
+def p3_songs(spark, sf_dir):
+    songs = _stanzas(spark, sf_dir).select("idx", F.col("song_lang").alias("lang"), F.col("song_confidence").alias("confidence"), "label", (F.col("languages") > 1).alias("mixed"))
+    return songs.distinct()
+
+
+def p3_found(spark, sf_dir):
+    return langid.relabelled(_stanzas(spark, sf_dir)).select("idx", "stanza", "lang")
+
+
 def p5_weights(spark, sf_dir):
     postings, records = weights.term_weights(table(spark, sf_dir, "preprocessed_dataset_kijiji"))
     return postings.join(records, "record").select("link", "term", "weight")
@@ -78,7 +95,7 @@ def p7_cleaned(spark, sf_dir):
     return decontam.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _TERMS = """

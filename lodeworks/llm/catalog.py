@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontam, langid, neardup, packing, quota, weights
+from lodeworks.llm import decontam, langid, neardup, packing, pagespam, quota, weights
 from lodeworks.sources.tables import table
 
 
@@ -95,7 +95,15 @@ def p7_cleaned(spark, sf_dir):
     return decontam.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned)}
+def p8_scores(spark, sf_dir):
+    return pagespam.page_scores(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark, sf_dir):
+    return pagespam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _TERMS = """

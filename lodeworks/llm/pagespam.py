@@ -35,8 +35,9 @@ from lodeworks.session import materialize
 COMMON = 400
 #: Spreads off prose that are extreme for sentences, and that put a list outside of it.
 EXTREME, LISTED = 3.0, 0.5
-#: A curve's tail, the share of terms that occur once, below this part of prose's is that of repeated keywords.
-TAIL_PART = 0.25
+#: A curve's tail, the share of terms that occur once, below this part of prose's is that of repeated keywords;
+#: in blocks of fewer than LONG terms, where two like sentences weigh more, the first holds.
+TAIL_PART, LONG_TAIL_PART, LONG = 0.25, 0.3, 64
 #: Sentence blocks that a language needs at a length to be its own standard.
 LEAST_BLOCKS = 30
 MEASURES = ("slope", "level", "tail", "divergence")
@@ -76,9 +77,10 @@ def shape(line: str) -> str:
         label = _LABEL.match(line)
         for delimiter, least in _DELIMITERS:
             entries = line[label.end() if label else 0 :].split(delimiter)
-            if len(entries) >= (2 if label else least) and words <= (4 if delimiter == ", " else 5) * len(entries):
+            words = sum(len(x.split()) for x in entries)
+            if len(entries) >= (2 if label else least) and words >= 1.3 * len(entries) and words <= (4 if delimiter == ", " else 5) * len(entries):
                 return LIST
-        if words <= 6:
+        if line.count(" ") < 6:
             return SHORT
     return PROSE
 
@@ -90,10 +92,12 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
         if line := line.strip():
             kind = shape(line)
             sentence = kind == PROSE and _SENTENCE.search(line)
-            if runs and runs[-1][0] == kind and not sentence:
+            verse = kind in (SHORT, PROSE) and not sentence and runs and runs[-1][0] in (SHORT, PROSE) and not _SENTENCE.search(runs[-1][1][-1])
+            if verse:  # short and long lines in turn
+                runs[-1][1].append(line)
+                runs[-1] = (PROSE if kind == PROSE else runs[-1][0], runs[-1][1])
+            elif runs and runs[-1][0] == kind and kind not in (SHORT, PROSE):
                 runs[-1][1].append(line)
-            elif runs and kind in (SHORT, PROSE) and not sentence and runs[-1][0] in (SHORT, PROSE) and not _SENTENCE.search(runs[-1][1][-1]):
-                runs[-1] = (PROSE if PROSE in (kind, runs[-1][0]) else SHORT, [*runs[-1][1], line])  # verses: short and long lines in turn
             else:
                 runs.append((kind, [line]))
     out = []
@@ -204,12 +208,12 @@ def spam_block() -> Column:
     Links, tags, codes, lists and short entries line by line need only lie
     outside the middle of prose (LISTED spreads; blocks too short for a sure
     curve count by their shape). Sentences need a level EXTREME spreads above
-    it and a tail below TAIL_PART of its.
+    it and a tail below TAIL_PART (LONG_TAIL_PART) of its.
     """
     outside = F.coalesce(F.col("widest") > LISTED, F.lit(True)) | (F.col("n") < 2 * LEAST_TERMS)
     listed = F.col("shape").isin(LINKS, TAGS, CODES, LIST)
     entries = (F.col("shape") == SHORT) & (F.col("line_words") <= 4.5) & (F.col("n") >= LEAST_TERMS)
-    repeated = (F.col("shape") == PROSE) & (F.col("level_off") > EXTREME) & (F.col("tail_part") < TAIL_PART)
+    repeated = (F.col("shape") == PROSE) & (F.col("level_off") > EXTREME) & (F.col("tail_part") < F.when(F.col("n") < LONG, TAIL_PART).otherwise(LONG_TAIL_PART))
     return F.coalesce(((listed | entries) & outside) | repeated, F.lit(False))
 
 

@@ -107,12 +107,12 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
     return out
 
 
-_BLOCKS = "page bigint, doc_id bigint, block int, shape string, chars bigint, page_chars bigint, line_words double, lang string, terms array<struct<term string, f int>>, n int"
+_BLOCKS = "page bigint, doc_id bigint, shape string, chars bigint, page_chars bigint, line_words double, lang string, terms array<string>, freqs array<int>, n int"
 
 
 def page_blocks(documents: DataFrame) -> DataFrame:
-    """One row per block with its terms' frequencies; page numbers the rows of documents."""
-    columns = ["page", "doc_id", "block", "shape", "chars", "page_chars", "line_words", "lang", "terms", "n"]
+    """One row per block with its terms and their frequencies; page numbers the rows of documents, block the rows of the result."""
+    columns = [c.split()[0] for c in _BLOCKS.split(", ")]
 
     def cut(batches):
         for batch in batches:
@@ -120,19 +120,20 @@ def page_blocks(documents: DataFrame) -> DataFrame:
             for page, doc, lang, text in zip(batch["page"], batch["doc_id"], batch["lang"], batch["text"]):
                 found = blocks_of(text)
                 total = sum(b[1] for b in found)
-                for k, (kind, chars, words, terms) in enumerate(found):
-                    counts = [{"term": t, "f": f} for t, f in Counter(terms).items()]
-                    rows.append((page, doc, k, kind, chars, total, words, lang, counts, len(terms)))
+                for kind, chars, words, terms in found:
+                    counts = Counter(terms)
+                    rows.append((page, doc, kind, chars, total, words, lang, list(counts), list(counts.values()), len(terms)))
             yield pd.DataFrame(rows, columns=columns)
 
     pages = documents.filter("doc_id IS NOT NULL AND length(text) > 0")
-    return pages.select(F.monotonically_increasing_id().alias("page"), "doc_id", language_code(F.col("lang")).alias("lang"), "text").mapInPandas(cut, _BLOCKS)
+    numbered = pages.select(F.monotonically_increasing_id().alias("page"), "doc_id", language_code(F.col("lang")).alias("lang"), "text")
+    return numbered.mapInPandas(cut, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
 def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple[str, float]]]:
     """Of each language the `common` terms in most prose blocks with their share of all such occurrences."""
     prose = blocks.filter((F.col("shape") == PROSE) & F.col("lang").isNotNull() & (F.col("n") >= LEAST_TERMS))
-    counts = prose.select("lang", F.explode("terms.term").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("blocks"))
+    counts = prose.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("blocks"))
     counts = materialize(counts, "prose-terms")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("blocks").alias("total")).collect()}  # one row a language
     top: dict[str, list[tuple[str, float]]] = {}
@@ -143,7 +144,7 @@ def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple
 
 
 def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) -> DataFrame:
-    """(page, block, slope, level, tail, divergence, near): the curve of each block of LEAST_TERMS terms or more."""
+    """(block, slope, level, tail, divergence, near): the curve of each block of LEAST_TERMS terms or more."""
     languages = sorted(reference)
     spark = blocks.sparkSession
     shares: dict[str, list[float | None]] = {}
@@ -151,22 +152,25 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
         for term, q in reference[language]:
             shares.setdefault(term, [None] * len(languages))[k] = q
     known = spark.createDataFrame(list(shares.items()), "term string, q array<double>")  # at most COMMON rows a language
-    rows = blocks.filter(F.col("n") >= LEAST_TERMS).select("page", "block", "n", F.explode("terms").alias("t")).select("page", "block", "n", "t.*")
-    rank = F.row_number().over(Window.partitionBy("page", "block").orderBy(F.desc("f"), "term"))
-    ranked = rows.withColumn("x", F.log(rank.cast("double"))).withColumn("y", F.log(F.col("f").cast("double"))).join(F.broadcast(known), "term", "left")
-    p = F.col("f") / F.col("n")
-    sums = [F.regr_slope("y", "x").alias("slope"), F.avg("y").alias("level"), F.sum(F.when(F.col("f") == 1, p).otherwise(0.0)).alias("tail")]
+    curved = blocks.filter(F.col("n") >= LEAST_TERMS)
+    # the curve needs the frequencies alone: eight-byte rows go through the one shuffle
+    ranked = curved.select("block", F.explode("freqs").alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("f"))))
+    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("f").cast("double"))
+    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"))
+    # a block's terms lie in one task, so its divergence sums are whole before their shuffle
+    met = curved.select("block", "n", F.explode(F.arrays_zip("terms", "freqs")).alias("t")).select("block", (F.col("t.freqs") / F.col("n")).alias("p"), F.col("t.terms").alias("term")).join(F.broadcast(known), "term")
+    sums = []
     for k in range(len(languages)):
         q = F.col("q")[k]
-        sums += [F.sum(F.when(q.isNotNull(), p * F.log(p / q)).otherwise(0.0)).alias(f"d{k}"), F.sum(F.when(q.isNotNull(), p).otherwise(0.0)).alias(f"s{k}")]
-    fits = ranked.groupBy("page", "block").agg(*sums)
+        sums += [F.sum(F.when(q.isNotNull(), F.col("p") * F.log(F.col("p") / q)).otherwise(0.0)).alias(f"d{k}"), F.sum(F.when(q.isNotNull(), F.col("p")).otherwise(0.0)).alias(f"s{k}")]
+    joined = fits.join(met.groupBy("block").agg(*sums), "block", "left") if sums else fits
     options = []
     for k, language in enumerate(languages):
-        other = F.greatest(1 - F.col(f"s{k}"), F.lit(1e-9))
+        other = F.greatest(1 - F.coalesce(f"s{k}", F.lit(0.0)), F.lit(1e-9))
         rest = max(1e-3, 1 - sum(q for _, q in reference[language]))
-        options.append(F.struct((F.col(f"d{k}") + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near")))
+        options.append(F.struct((F.coalesce(f"d{k}", F.lit(0.0)) + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near")))
     best = F.array_min(F.array(*options)) if options else F.struct(F.lit(0.0).alias("divergence"), F.lit(None).cast("string").alias("near"))
-    return fits.withColumn("best", best).select("page", "block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "best.divergence", "best.near")
+    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "best.divergence", "best.near")
 
 
 def _middles(prose: DataFrame, by: list[str]) -> DataFrame:
@@ -182,7 +186,7 @@ def judged(blocks: DataFrame, fits: DataFrame) -> DataFrame:
     language with fewer than LEAST_BLOCKS at a length is held against all
     languages; a length beyond all prose against the longest there is.
     """
-    full = blocks.drop("terms").join(fits, ["page", "block"], "left").withColumn("bin", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
+    full = blocks.drop("terms", "freqs").join(fits, "block", "left").withColumn("bin", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
     full = materialize(full, "page-fits")
     sentences = full.filter((F.col("shape") == PROSE) & F.col("level").isNotNull())
     first = sentences.groupBy("bin").agg(F.percentile_approx("tail", 0.5, 1000).alias("usual"))

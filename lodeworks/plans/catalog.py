@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeworks.plans import skew_queries
+from lodeworks.plans import reference_queries, skew_queries
 
-MODULES = (skew_queries,)
+MODULES = (reference_queries, skew_queries)
 
 
 def queries() -> dict:

@@ -50,29 +50,29 @@ class _Fields(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         have = dict(attrs)
         classes = (have.get("class") or "").split()
-        if (tag, True) == (self.item[0], self.item[1] in classes):
+        if tag == self.item[0] and self.item[1] in classes:
             self.rows.append(dict.fromkeys(self.fields))
-        if not self.rows:
-            return
-        for name, (wanted, cls, attribute) in self.fields.items():
-            if tag == wanted and cls in classes and self.rows[-1][name] is None:
+        self.open = None
+        for name, (wanted, kind, attribute) in self.fields.items():
+            if self.rows and tag == wanted and kind in classes and self.rows[-1][name] is None:
                 if attribute:
                     self.rows[-1][name] = have.get(attribute)
                 else:
                     self.open = name
-                if attribute and tag == "a" and "titles" in self.fields and self.rows[-1]["titles"] is None:
-                    self.open = "titles"
 
     def handle_data(self, data: str) -> None:
         if self.open and data.strip():
             self.rows[-1][self.open] = data.strip()
             self.open = None
 
+    def handle_endtag(self, tag: str) -> None:
+        self.open = None
 
-#: Elements of an ads page: field -> (tag, class, attribute or None for the text). Fixed values.
+
+#: Where an ads page holds each field (tag, class, attribute or None for the text).
 AD_FIELDS = {
     "links": ("a", "cta", "href"),
-    "titles": ("a", "cta-text", None),
+    "titles": ("a", "cta", None),
     "timestamps": ("p", "timestamp", None),
     "locations": ("p", "locale", None),
     "descriptions": ("p", "description", None),

@@ -53,8 +53,9 @@ SPELLINGS = {
     "pt": "pt por portuguese português portugues portoghese portugués portugais",
     "ru": "ru rus russian русский russo ruso russe russisch",
 }
-#: Syllables sung without meaning.
-VOCALISES = frozenset("la na oh ooh oooh yeah yea yeh hey uh huh mmm mm hmm hm ah aah eh woah whoa wo ho da doo du dum sha ya yo ohh ahh".split())
+#: Syllables sung without meaning, and words that are such only in a line of nothing else.
+VOCALISES = frozenset("la na oh ooh oooh ohh yeah yea yeh hey uh huh mmm mm hmm hm ah aah eh woah whoa".split())
+SUNG = VOCALISES | frozenset("ha ho wo da doo du dum do sha ya yo a e o u ла на о а эй".split())
 
 _BREAK = re.compile(r"\r\n|\r|\n")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -87,7 +88,8 @@ def words_of(line: str) -> list[str]:
 
 
 def spoken(words: list[str]) -> int:
-    return sum(w not in VOCALISES for w in words)
+    """Words that are no vocalises; none in a line of sung syllables."""
+    return 0 if SUNG.issuperset(words) else sum(w not in VOCALISES for w in words)
 
 
 @dataclass

@@ -2,11 +2,12 @@
 
 Items are spread over partitions and each partition is packed by best-fit
 decreasing. Dual feasible functions give a lower bound on the containers that
-any packing of the partition needs; a partition that meets its bound is
-certified and stays. The others release the items of their containers with
-unused space, exchange them over new, fewer partitions and pack them again,
-until no gap is left, the number of containers stops falling or the rounds are
-used up.
+any packing needs, for each partition and over all items of a kind of
+container. Where the partitions together meet the bound of their kind, the
+packing is certified as the best there is. Where a gap is left, the partitions
+release the items of their containers with unused space, exchange them over
+new, fewer partitions and pack them again, until the bound is met, the number
+of containers stops falling or the rounds are used up.
 
 An item above the capacity is cut into full pieces, each a container of its
 own, and a rest that is packed like any item. Defined results: items of size
@@ -105,6 +106,12 @@ def _pack_round(items: DataFrame, round_no: int) -> DataFrame:
     return items.groupBy("container", "slot").applyInPandas(one, _PACKED)
 
 
+def _bins(packed: DataFrame) -> dict[str, int]:
+    """Containers used of each kind: one row a kind."""
+    bins = packed.select("container", "slot", "bin").distinct()
+    return {x["container"]: x["bins"] for x in bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins")).collect()}
+
+
 def pack(items: DataFrame, containers: DataFrame, per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """(container, capacity, id, piece, bin, size) for items (id, size) and containers (container, capacity_tokens).
 
@@ -114,37 +121,40 @@ def pack(items: DataFrame, containers: DataFrame, per_partition: int = ITEMS_PER
     kinds = containers.filter("container IS NOT NULL AND capacity_tokens > 0").select("container", "capacity_tokens").distinct().limit(MAX_KINDS + 1).collect()
     if len(kinds) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} kinds of containers")
-    known = materialize(items.select("id", F.coalesce(F.col("size"), F.lit(0)).cast("int").alias("size")), "pack-items")
+    known = materialize(items.select("id", F.coalesce(F.col("size"), F.lit(0)).cast("int").alias("size"), F.monotonically_increasing_id().alias("row")), "pack-items")
     slots = max(1, -(-known.count() // per_partition))
     kind = F.explode(F.array(*(F.struct(F.lit(k[0]).alias("container"), F.lit(k[1]).alias("capacity")) for k in kinds))) if kinds else F.explode(F.array().cast("array<struct<container:string,capacity:int>>"))
-    each = known.select("id", "size", kind.alias("k")).select("id", "size", "k.*")
+    each = known.select("row", "id", "size", kind.alias("k")).select("row", "id", "size", "k.*")
     cut = each.withColumn("whole", F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.col("capacity")).cast("int"))
     full = cut.filter("whole > 0").select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"), F.col("capacity").alias("size"))
     full = full.select("container", "capacity", "id", "piece", F.concat_ws("-", F.lit("full"), "id", "piece").alias("bin"), "size")
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
+    slot = F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int").alias("slot")
     packed = materialize(_pack_round(cut.select("container", "capacity", slot, "id", F.col("whole").alias("piece"), (F.col("size") - F.col("whole") * F.col("capacity")).cast("int").alias("size")), 0), "pack-round")
-    done = []
+    sizes: dict[str, dict[int, int]] = {}
+    for x in packed.groupBy("container", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity + 1 rows a container
+        sizes.setdefault(x["container"], {})[x["size"]] = x["n"]
+    bounds = {k[0]: lower_bound(sizes[k[0]], k[1]) for k in kinds if k[0] in sizes}
+    used = _bins(packed)
     for r in range(1, rounds + 1):
-        loose = packed.filter("bins > bound AND room > 0")
+        gaps = [c for c in used if used[c] > bounds[c]]
+        released = F.col("container").isin(gaps) & (F.col("room") > 0)
+        loose = packed.filter(released)
         pools = {x["container"]: x for x in loose.groupBy("container", "slot").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bin").alias("bins")).groupBy("container").agg(F.count(F.lit(1)).alias("slots"), F.sum("n").alias("n"), F.sum("bins").alias("bins")).collect()}  # one row a container
         fewer = {c: min(-(-x["n"] // per_partition), -(-x["slots"] // 2)) for c, x in pools.items() if x["slots"] > 1}
         if not fewer:
             break
         new_slots = F.coalesce(*(F.when(F.col("container") == c, F.lit(k)) for c, k in fewer.items()))
-        again = loose.filter(F.col("container").isin(list(fewer))).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(r)), new_slots).cast("int"))
+        again = loose.filter(F.col("container").isin(list(fewer))).withColumn("slot", F.pmod(F.xxhash64("slot", "bin", "id", F.lit(r)), new_slots).cast("int"))
         repacked = materialize(_pack_round(again.select("container", "capacity", "slot", "id", "piece", "size"), r), "pack-round")
-        after = {x["container"]: x["bins"] for x in repacked.groupBy("container", "slot").agg(F.max("bins").alias("bins")).groupBy("container").agg(F.sum("bins").alias("bins")).collect()}
+        after = _bins(repacked)
         better = [c for c in fewer if after[c] < pools[c]["bins"]]
         if not better:
             break
         mine = F.col("container").isin(better)
-        done += [packed.filter(mine & ~F.expr("bins > bound AND room > 0")), packed.filter(~mine)]
-        packed = repacked.filter(mine)
+        packed = materialize(packed.filter(~(mine & released)).unionByName(repacked.filter(mine).withColumn("slot", F.col("slot") + r * 1_000_000)), "pack-round")
+        used = {c: n - (pools[c]["bins"] - after[c] if c in better else 0) for c, n in used.items()}
     name = F.concat_ws("-", "round", "slot", F.col("bin"))
-    placement = full
-    for p in [*done, packed]:
-        placement = placement.unionByName(p.select("container", "capacity", "id", "piece", name.alias("bin"), "size"))
-    return placement
+    return full.unionByName(packed.select("container", "capacity", "id", "piece", name.alias("bin"), "size"))
 
 
 def cut_items(placement: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,11 +75,13 @@ def shape(line: str) -> str:
         return CODES
     if not _SENTENCE.search(line):
         label = _LABEL.match(line)
+        listed = line[label.end() :] if label else line
         for delimiter, least in _DELIMITERS:
-            entries = line[label.end() if label else 0 :].split(delimiter)
-            words = sum(len(x.split()) for x in entries)
-            if len(entries) >= (2 if label else least) and words >= 1.3 * len(entries) and words <= (4 if delimiter == ", " else 5) * len(entries):
-                return LIST
+            entries = listed.count(delimiter) + 1
+            if entries >= (2 if label else least):
+                words = len(listed.replace(delimiter, " ").split())
+                if 1.3 * entries <= words <= (4 if delimiter == ", " else 5) * entries:
+                    return LIST
         if line.count(" ") < 6:
             return SHORT
     return PROSE
@@ -112,22 +114,29 @@ _BLOCKS = "page bigint, doc_id bigint, shape string, chars bigint, page_chars bi
 
 def page_blocks(documents: DataFrame) -> DataFrame:
     """One row per block with its terms and their frequencies; page numbers the rows of documents, block the rows of the result."""
-    columns = [c.split()[0] for c in _BLOCKS.split(", ")]
+    names = [c.split()[0] for c in _BLOCKS.split(", ")]
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for page, doc, lang, text in zip(batch["page"], batch["doc_id"], batch["lang"], batch["text"]):
+            rows, terms, freqs, ends = [], [], [], [0]
+            for page, doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("page", "doc_id", "lang", "text"))):
                 found = blocks_of(text)
                 total = sum(b[1] for b in found)
-                for kind, chars, words, terms in found:
-                    counts = Counter(terms)
-                    rows.append((page, doc, kind, chars, total, words, lang, list(counts), list(counts.values()), len(terms)))
-            yield pd.DataFrame(rows, columns=columns)
+                for kind, chars, words, mine in found:
+                    rows.append((page, doc, kind, chars, total, words, lang, len(mine)))
+                    if len(mine) >= LEAST_TERMS:  # shorter ones have no curve
+                        counts = Counter(mine)
+                        terms += counts
+                        freqs += counts.values()
+                    ends.append(len(terms))
+            plain = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32()))]
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(freqs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*plain[:7], *lists, plain[7]], names=names)
 
     pages = documents.filter("doc_id IS NOT NULL AND length(text) > 0")
     numbered = pages.select(F.monotonically_increasing_id().alias("page"), "doc_id", language_code(F.col("lang")).alias("lang"), "text")
-    return numbered.mapInPandas(cut, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    return numbered.mapInArrow(cut, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
 def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple[str, float]]]:

@@ -6,10 +6,13 @@ import atexit
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def local_session(app: str = "lodeworks", cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -49,24 +52,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no recomputation of what lies
     before, and tables read several times are computed once. The files go
-    when the session's process ends.
+    with release(), or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables of materialize() that nothing reads any more."""
-    paths = {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}
-    for entry in list(_written):
-        if any(p.endswith(entry[1].partition("://")[2] or entry[1]) for p in paths):
+    """Remove tables of materialize() that no lazy result reads any more."""
+    for table in tables:
+        path = getattr(table, "_shared_path", None)
+        for entry in [e for e in _written if e[1] == path]:
             _remove(*entry)
             _written.remove(entry)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the session's workers this package, once a session; they need not have it installed."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="lodeworks-code-")) / "lodeworks.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

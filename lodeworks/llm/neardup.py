@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import normalised
-from lodeworks.session import materialize, partitions_for
+from lodeworks.session import materialize, partitions_for, release
 
 BUCKETS, ROUNDS = 16, 15
 ROWS, BANDS = 5, 48
@@ -205,7 +205,9 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
 
     left = numbered.select(F.col("no").alias("x"), F.col("rep").alias("a"), F.col("norm").alias("s"))
     right = numbered.select(F.col("no").alias("y"), F.col("rep").alias("b"), F.col("norm").alias("t"))
-    return likely.join(left, "x").join(right, "y").mapInPandas(verify, "a string, b string, similarity double")
+    found = materialize(likely.join(left, "x").join(right, "y").mapInPandas(verify, "a string, b string, similarity double"), "neardup-pairs")
+    release(numbered, shared, likely)
+    return found
 
 
 def shingle_set(text: str, k: int, words: bool = False) -> set[str]:
@@ -250,7 +252,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: f
     if words:
         texts = texts.filter(F.size(F.split("norm", " ")) >= shingle)
     members, reps = copy_classes(texts)
-    near = materialize(similar_representatives(reps, shingle, threshold, words), "neardup-pairs")
+    near = similar_representatives(reps, shingle, threshold, words)
     listed = members.filter((F.col("copies") <= EXPAND) | (F.col("id") == F.col("rep"))).select("id", "rep")
     one, two = (listed.select(F.col("id").alias(f"id_{c}"), F.col("rep").alias(c)) for c in "ab")
     across = near.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
@@ -272,7 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         large = _star(edges, large=True)
         small = materialize(_star(large, large=False).distinct(), "components")
-        changed = small.exceptAll(edges).limit(1).count() or edges.distinct().exceptAll(small).limit(1).count()
+        changed = not small.join(edges, ["a", "b"], "left_anti").isEmpty() or not edges.join(small, ["a", "b"], "left_anti").isEmpty()
+        release(edges)
         edges = small
         if not changed:
             break
@@ -299,7 +302,7 @@ def classes(df: DataFrame, key: str, text: str, shingle: int, threshold: float,
     if words:
         texts = texts.filter(F.size(F.split("norm", " ")) >= shingle)
     members, reps = copy_classes(texts)
-    near = materialize(similar_representatives(reps, shingle, threshold, words), "neardup-pairs")
+    near = similar_representatives(reps, shingle, threshold, words)
     sizes = members.filter("id = rep").select("rep", "copies")
     roots = components(near)
     sides = near.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("other")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import word_count
-from lodeworks.session import materialize
+from lodeworks.session import materialize, release
 
 #: Items of a first partition; large enough that its last open containers weigh little.
 ITEMS_PER_PARTITION = 20_000
@@ -151,7 +151,9 @@ def pack(items: DataFrame, containers: DataFrame, per_partition: int = ITEMS_PER
         if not better:
             break
         mine = F.col("container").isin(better)
-        packed = materialize(packed.filter(~(mine & released)).unionByName(repacked.filter(mine).withColumn("slot", F.col("slot") + r * 1_000_000)), "pack-round")
+        before = packed
+        packed = materialize(before.filter(~(mine & released)).unionByName(repacked.filter(mine).withColumn("slot", F.col("slot") + r * 1_000_000)), "pack-round")
+        release(before, repacked)
         used = {c: n - (pools[c]["bins"] - after[c] if c in better else 0) for c, n in used.items()}
     name = F.concat_ws("-", "round", "slot", F.col("bin"))
     return full.unionByName(packed.select("container", "capacity", "id", "piece", name.alias("bin"), "size"))

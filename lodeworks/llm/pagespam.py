@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.langid import language_code
-from lodeworks.session import materialize
+from lodeworks.session import materialize, release
 
 COMMON = 400
 #: Spreads off prose that are extreme for sentences, and that put a list outside of it.
@@ -234,6 +234,7 @@ def page_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, spam_share, slope_off, level_off, tail_off, divergence_off) of each page: the share of its characters in spam blocks, and its blocks' widest distances from prose."""
     blocks = materialize(page_blocks(documents), "page-blocks")
     marked = judged(blocks, curves(blocks, prose_terms(blocks)))
+    release(blocks)
     spam = F.sum(F.when(spam_block(), F.col("chars")).otherwise(F.lit(0)))
     widest = [F.max(F.abs(f"{m}_off")).alias(f"{m}_off") for m in MEASURES]
     return marked.groupBy("page", "doc_id").agg((spam / F.max("page_chars")).alias("spam_share"), *widest).drop("page")

@@ -87,6 +87,5 @@ def key_counts(log: DataFrame, fields: list[str], share: float = 0.01, salts: in
 def plays_by_key(log: DataFrame, fields: list[str], share: float = 0.01) -> DataFrame:
     """key_counts with the share of all distinct rows and whether the key is a heavy one (more than `share`)."""
     counts = materialize(key_counts(log, fields, share), "key-counts")
-    total = counts.filter("field_name = '*'").select(F.col("plays").alias("__total"), F.lit(1).alias("__j"))  # one row
-    joined = counts.filter("field_name <> '*'").withColumn("__j", F.lit(1)).join(F.broadcast(total), "__j")
-    return joined.select("field_name", "key_value", "plays", (F.col("plays") > F.col("__total") * F.lit(share)).alias("heavy"))
+    total = counts.filter("field_name = '*'").agg(F.max("plays")).first()[0] or 0
+    return counts.filter("field_name <> '*'").select("field_name", "key_value", "plays", (F.col("plays") > F.lit(share) * total).alias("heavy"))

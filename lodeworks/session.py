@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where it is unset (a session on one machine) a temporary folder is
     made and recorded in the session.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """Columns of a table for costly work by row: one of fewer splits than cores, such as a single small file, is dealt out first."""
+    rows, cores = table(spark, sf_dir, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = False) -> DataFrame:
     """Tab-separated text with an explicit schema; short rows get nulls."""
     return spark.read.csv(path, sep="\t", schema=schema, header=header, mode="PERMISSIVE", enforceSchema=True)

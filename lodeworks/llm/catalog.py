@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.llm import decontam, langid, neardup, packing, pagespam, quota, weights
-from lodeworks.sources.tables import table
+from lodeworks.sources.tables import spread_table, table
 
 
 #: Shingles of ten characters, similarity and least length of an ad's description.
@@ -75,7 +75,7 @@ def p6_pack(spark, sf_dir):
 
 
 def p6_pack_bpe(spark, sf_dir):
-    items = packing.sized_by_bpe(table(spark, sf_dir, "documents"), BPE)
+    items = packing.sized_by_bpe(spread_table(spark, sf_dir, "documents", ["doc_id", "text"]), BPE)
     return packing.pack(items, table(spark, sf_dir, "containers")).withColumnRenamed("id", "doc_id")
 
 
@@ -88,19 +88,22 @@ def p6_found(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return decontam.leaks(spread_table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "eval_items"))
 
 
 def p7_cleaned(spark, sf_dir):
-    return decontam.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return decontam.cleaned(spread_table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "eval_items"))
+
+
+PAGE = ["doc_id", "lang", "text"]
 
 
 def p8_scores(spark, sf_dir):
-    return pagespam.page_scores(table(spark, sf_dir, "documents"))
+    return pagespam.page_scores(spread_table(spark, sf_dir, "documents", PAGE))
 
 
 def p8_found(spark, sf_dir):
-    return pagespam.spam_pages(table(spark, sf_dir, "documents"))
+    return pagespam.spam_pages(spread_table(spark, sf_dir, "documents", PAGE))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}

@@ -109,22 +109,40 @@ def gram(points: DataFrame, d: int) -> np.ndarray:
     return out
 
 
-def svd(points: DataFrame, m: int) -> tuple[DataFrame, np.ndarray]:
-    """((id, reduced), singular values): the points' first m coordinates U * S, not centered; each axis' greatest loading is positive."""
+def _axes(points: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(d x m axes, m singular values) in falling order, each axis' greatest loading positive; None without points."""
     first = points.select(F.size("vector").alias("d")).first()
     if first is None:
-        return points.select("id", F.array().cast("array<double>").alias("reduced")), np.zeros(0)
+        return None
     values, axes = np.linalg.eigh(gram(points, first["d"]))
     order = values.argsort()[::-1][:m]
     axes = axes[:, order]
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(len(order))])
-    shared = points.sparkSession.sparkContext.broadcast(axes)
+    return axes, np.sqrt(np.maximum(values[order], 0))
+
+
+def _times(points: DataFrame, matrix: np.ndarray, name: str) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(vectors.to_numpy()).astype(np.float64) @ shared.value))
+    def product(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vectors.to_numpy()).astype(np.float64) @ shared.value)) if len(vectors) else vectors
+
+    return points.select("id", product("vector").alias(name))
+
+
+def svd(points: DataFrame, m: int) -> tuple[DataFrame, np.ndarray]:
+    """((id, reduced), singular values): the points' first m coordinates U * S, not centered."""
+    found = _axes(points, m)
+    if found is None:
+        return points.select("id", F.array().cast("array<double>").alias("reduced")), np.zeros(0)
+    return _times(points, found[0], "reduced"), found[1]
+
 
-    return points.select("id", project("vector").alias("reduced")), np.sqrt(np.maximum(values[order], 0))
+def reconstructed(points: DataFrame, m: int) -> DataFrame:
+    """(id, vector): the points at their full width out of the m greatest singular values."""
+    found = _axes(points, m)
+    return points.select("id", "vector") if found is None else _times(points, found[0] @ found[0].T, "vector")
 
 
 def without_hot_scale(points: DataFrame, k: int) -> DataFrame:

@@ -123,13 +123,45 @@ def word_vectors(rows: DataFrame, size: int = 100, window: int = 5, seed: int =
     return Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, maxIter=iterations, inputCol="tokens", outputCol="vector").fit(rows)
 
 
-def baseline_classifier(rows: DataFrame, features: int = 1 << 12, seed: int = 1) -> DataFrame:
+def _labelled(rows: DataFrame, features: int) -> DataFrame:
+    """rows with hashed word features, label_id and the part of the split."""
+    from pyspark.ml.feature import HashingTF
+
+    labels = label_ids(rows, "genre")  # a row a class
+    hashed = HashingTF(numFeatures=features, inputCol="tokens", outputCol="features").transform(rows)
+    return hashed.join(F.broadcast(labels), hashed["genre"] == labels["label"]).withColumn("part", split(F.col("idx")))
+
+
+def best_classifier(rows: DataFrame, path: str, strengths: tuple[float, ...] = (0.2, 0.05, 0.01), features: int = 1 << 12, patience: int = 2):
+    """The logistic regression of least log loss on the dev split; each better one is saved to path, and the saved one is read back.
+
+    Ends early once `patience` strengths in a row were no better.
+    """
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    parts = materialize(_labelled(rows, features).select("idx", "genre", "features", "label_id", "part"), "classifier-parts")
+    loss = MulticlassClassificationEvaluator(labelCol="label_id", metricName="logLoss")
+    least, worse = float("inf"), 0
+    for strength in strengths:
+        model = LogisticRegression(maxIter=20, regParam=strength, labelCol="label_id").fit(parts.filter("part = 'train'"))
+        now = loss.evaluate(model.transform(parts.filter("part = 'dev'")))
+        if now < least:
+            least, worse = now, 0
+            model.write().overwrite().save(path)
+        else:
+            worse += 1
+            if worse == patience:
+                break
+    return LogisticRegressionModel.load(path)
+
+
+def baseline_classifier(rows: DataFrame, features: int = 1 << 12) -> DataFrame:
     """(idx, label, predicted) of the test split by logistic regression over hashed words; stands in for the neural networks."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
 
+    parts = _labelled(rows, features)
+    model = LogisticRegression(maxIter=20, regParam=0.05, labelCol="label_id").fit(parts.filter("part = 'train'"))
+    guessed = model.transform(parts.filter("part = 'test'")).select("idx", F.col("genre").alias("label"), F.col("prediction").cast("int").alias("label_id"))
     labels = label_ids(rows, "genre")
-    split_rows = HashingTF(numFeatures=features, inputCol="tokens", outputCol="features").transform(rows).join(F.broadcast(labels), rows["genre"] == labels["label"]).withColumn("part", split(F.col("idx")))
-    model = LogisticRegression(maxIter=20, regParam=0.05, labelCol="label_id").fit(split_rows.filter("part = 'train'"))
-    guessed = model.transform(split_rows.filter("part = 'test'")).select("idx", F.col("genre").alias("label"), F.col("prediction").cast("int").alias("label_id"))
     return guessed.join(F.broadcast(labels.select(F.col("label").alias("predicted"), "label_id")), "label_id").select("idx", "label", "predicted")

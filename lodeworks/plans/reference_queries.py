@@ -193,6 +193,15 @@ def svd_singular_values(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(values)], "place int, value double")
 
 
+def svd_reconstruct(spark, sf_dir):
+    return cluster.reconstructed(_points(spark, sf_dir), 10).select(F.col("id").alias("vec_id"), F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+def svd_synthetic(spark, sf_dir):
+    points = materialize(synthetic_points(spark, sf_dir), "synthetic")
+    return cluster.svd(points, 50)[0]
+
+
 def synthetic_points(spark, sf_dir):
     return cluster.without_hot_scale(cluster.synthetic_points(spark, 50, 1000, 50), 50)
 
@@ -286,7 +295,7 @@ QUERIES = {
         play_counts_having, basket_lists, postings, track_users, top_tracks, top_pairs, grouped_avg, dedup_first, distinct_links, extract_pages,
         tokenize_counts, doc_freq, tfidf_index, search_top22, stemmed_tokens, shingle_counts, class_members, minhash_signature, lsh_bands, lsh_pairs,
         lsh_duplicates, jaccard_exact, lsh_recall, kmeans_assign, kmeans_step, kmeans, farthest_first, cluster_agreement, svd_reduce,
-        svd_singular_values, synthetic_points, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
+        svd_singular_values, svd_reconstruct, svd_synthetic, synthetic_points, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
         encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval,
     )
 }

@@ -132,6 +132,24 @@ def test_clusters(spark):
     assert np.allclose(np.linalg.norm([back[i] for i in sorted(back)], axis=0), values)
 
 
+def test_reconstruction(spark):
+    points = cluster.synthetic_points(spark, 3, 20, 2)
+    x = np.array([r["vector"] for r in points.orderBy("id").collect()])
+    u, w, v = np.linalg.svd(x, full_matrices=False)
+    back = np.array([r["vector"] for r in cluster.reconstructed(points, 2).orderBy("id").collect()])
+    assert np.allclose(back, u[:, :2] @ np.diag(w[:2]) @ v[:2])
+    assert cluster.svd(points.limit(0), 2)[1].size == 0 and cluster.reconstructed(points.limit(0), 2).count() == 0
+
+
+def test_best_classifier_is_saved(spark, tmp_path):
+    rows = [(i, ("Rock", "Jazz")[i % 2], ["guitar", "loud", f"w{i % 7}"] if i % 2 == 0 else ["horn", "blue", f"w{i % 5}"]) for i in range(150)]
+    df = spark.createDataFrame(rows, "idx bigint, genre string, tokens array<string>")
+    model = songs.best_classifier(df, str(tmp_path / "model"), strengths=(0.1, 0.01), features=64)
+    assert (tmp_path / "model").exists() and model.numClasses == 2
+    guessed = songs.baseline_classifier(df, features=64).collect()
+    assert guessed and all(r["label"] == r["predicted"] for r in guessed)
+
+
 def test_songs(spark):
     rows = [(1, "Rock", "[Chorus verse] Hello (World)"), (1, "Rock", "[Chorus verse] Hello (World)"), (2, "Jazz", None), (3, "Pop", "short"), (4, "Jazz", "la la blue note la tonight")]
     df = spark.createDataFrame(rows, "idx bigint, genre string, lyrics string")

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.operators.pairs import pairs_within
 from lodeworks.session import materialize, partitions_for
 
 SHINGLE, HASHES, LEAST_EQUAL = 10, 10, 8
@@ -63,10 +64,9 @@ def lsh_pairs(signed: DataFrame, least: int = LEAST_EQUAL) -> DataFrame:
         raise ValueError("so few equal hashes may leave no group equal")
     keys = F.array(*(F.concat_ws("|", F.lit(str(g)), *(F.col("signature")[i] for i in group)) for g, group in enumerate(GROUPS)))
     met = signed.select("key", "signature", F.explode(keys).alias("group"))
-    one, two = (met.select("group", F.col("key").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    pairs = one.join(two, "group").filter("a < b").withColumn("equal", equal).filter(F.col("equal") >= least)
-    return pairs.select("a", "b", (F.col("equal") / HASHES).alias("score")).distinct()
+    equal = F.size(F.filter(F.zip_with("signature_x", "signature_y", lambda x, y: x == y), lambda e: e))
+    pairs = pairs_within(met, "group", "key", ["signature"]).withColumn("equal", equal).filter(F.col("equal") >= least)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("equal") / HASHES).alias("score")).distinct()
 
 
 def later_copies(pairs: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = SHINGLE) ->
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     prefix = materialize(ranked.withColumn("place", place + alone).filter(F.col("place") <= length).select("key", "n", "h"), "jaccard-prefix")
-    one, two = (prefix.select("h", F.col("key").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    met = one.join(two, "h").filter("a < b").filter((F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)).select("a", "b").distinct()
+    near = (F.col("n_x") >= F.col("n_y") * threshold - 1e-9) & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9)
+    met = pairs_within(prefix, "h", "key", ["n"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     full = sets.select("key", shingles(F.col("text"), k).alias("x"))
     both = met.join(full.select(F.col("key").alias("a"), F.col("x").alias("xa")), "a").join(full.select(F.col("key").alias("b"), F.col("x").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))

@@ -31,6 +31,11 @@ def squared_distance(vector: Column, center: np.ndarray) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
 
 
+def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances, a column a center."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+
+
 def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
     """(id, vector, cluster, distance): the nearest center, the first of equal ones, and its squared distance."""
     spark = points.sparkSession
@@ -39,7 +44,7 @@ def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
     @F.pandas_udf("cluster int, distance double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, shared.value.shape[1]))
-        gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in shared.value], axis=1)
+        gaps = _gaps(x, shared.value)
         return pd.DataFrame({"cluster": gaps.argmin(axis=1).astype("int32"), "distance": gaps.min(axis=1)})
 
     return points.withColumn("__near", nearest("vector")).select("id", "vector", "__near.cluster", "__near.distance")
@@ -50,21 +55,49 @@ def means(assigned: DataFrame) -> DataFrame:
     return assigned.select("cluster", F.posexplode("vector").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def _moved(assigned: DataFrame, centers: np.ndarray) -> np.ndarray:
-    new = centers.copy()  # a cluster without points keeps its center
-    for r in means(assigned).collect():
-        new[r["cluster"], r["dim"]] = r["mean"]
-    return new
+def _pass(points: DataFrame, centers: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """(the means of the points nearest to each center, the number of points that had another center before), summed per batch before anything is sent."""
+    k, d = centers.shape
+    shared = points.sparkSession.sparkContext.broadcast((centers, before))
 
-
-def kmeans(points: DataFrame, centers: np.ndarray, iterations: int = 20) -> tuple[DataFrame, np.ndarray]:
-    """(assignment, centers) once no center moves, or after the given number of iterations."""
+    def sums(batches):
+        now, then = shared.value
+        total = np.zeros((k, d + 2))  # the last two places: points, changed points
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+                near = _gaps(x, now).argmin(axis=1)
+                other = np.ones(len(x)) if then is None else near != _gaps(x, then).argmin(axis=1)
+                np.add.at(total, near, np.column_stack([x, np.ones(len(x)), other]))
+        yield pd.DataFrame({"cluster": np.arange(k), "row": list(total)})
+
+    parts = points.select("vector").mapInPandas(sums, "cluster int, row array<double>")
+    cells = parts.select("cluster", F.posexplode("row").alias("dim", "v")).groupBy("cluster", "dim").agg(F.sum("v").alias("v")).collect()  # k * (d + 2) numbers
+    shared.destroy()
+    total = np.zeros((k, d + 2))
+    for c in cells:
+        total[c["cluster"], c["dim"]] = c["v"]
+    new, held = centers.copy(), total[:, d] > 0  # a cluster without points keeps its center
+    new[held] = total[held, :d] / total[held, d : d + 1]
+    return new, int(total[:, d + 1].sum())
+
+
+def kmeans(points: DataFrame, centers: np.ndarray, iterations: int = 10_000) -> tuple[DataFrame, np.ndarray]:
+    """(assignment, centers) once no point changes its center; raises where that takes more than the given number of passes.
+
+    The assignment tells the end, since sums of doubles differ in their last
+    bits by the order in which partitions arrive: of equal assignments the
+    centers are equal, but the sums need not be.
+    """
+    if not len(centers):
+        return assign(points, centers), centers
+    before = None
     for _ in range(iterations):
-        new = _moved(assign(points, centers), centers)
-        if np.array_equal(new, centers):
-            break
-        centers = new
-    return assign(points, centers), centers
+        new, changed = _pass(points, centers, before)
+        if not changed:
+            return assign(points, centers), centers
+        before, centers = centers, new
+    raise RuntimeError(f"k-means: {changed} points still changed their center in pass {iterations}")
 
 
 def farthest_first(points: DataFrame, k: int, first: int) -> list[int]:

@@ -132,6 +132,26 @@ def test_clusters(spark):
     assert np.allclose(np.linalg.norm([back[i] for i in sorted(back)], axis=0), values)
 
 
+def test_kmeans_runs_until_no_point_changes(spark):
+    # five seeds at one end of a line: the borders between the clusters creep along it
+    line = [[float(i), float(i % 3)] for i in range(300)]
+    points = spark.createDataFrame(list(enumerate(line)), "id bigint, vector array<double>").repartition(3)
+    x, centers, passes = np.array(line), np.array(line[:5]), 0
+    near = np.full(len(x), -1)
+    while True:
+        now = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+        if (now == near).all():
+            break
+        near, passes = now, passes + 1
+        centers = np.array([x[near == c].mean(axis=0) for c in range(5)])
+    assert passes > 20
+    assigned, found = cluster.kmeans(points, np.array(line[:5]))
+    assert [r["cluster"] for r in assigned.orderBy("id").collect()] == list(near)
+    assert np.allclose(found, centers)
+    with pytest.raises(RuntimeError):
+        cluster.kmeans(points, np.array(line[:5]), 20)
+
+
 def test_reconstruction(spark):
     points = cluster.synthetic_points(spark, 3, 20, 2)
     x = np.array([r["vector"] for r in points.orderBy("id").collect()])

@@ -3,8 +3,9 @@
 A page is cut into blocks, runs of lines of one shape: links, tags, product
 codes, delimited lists, numbered tracks, short lines, sentences. For each block
 SQL windows rank its terms by frequency and fit the rank-frequency curve: the
-slope of ln f over ln rank, the curve's level (the mean ln f of the ranks) and
-its tail (the share of terms that occur once). The block's divergence is that
+slope of ln f over ln rank, the curve's level (the mean ln f of the ranks), its
+tail (the share of terms that occur once) and the fit's residual (the root of
+its mean square). The block's divergence is that
 of its terms from the prose of the language it is nearest to, over that
 language's COMMON terms of most blocks and one class for all others. These
 measures are held against sentence blocks of the same language and comparable
@@ -40,7 +41,7 @@ EXTREME, LISTED = 3.0, 0.5
 TAIL_PART, LONG_TAIL_PART, LONG = 0.25, 0.3, 64
 #: Sentence blocks that a language needs at a length to be its own standard.
 LEAST_BLOCKS = 30
-MEASURES = ("slope", "level", "tail", "divergence")
+MEASURES = ("slope", "level", "tail", "residual", "divergence")
 #: Blocks of fewer terms have no curve; their shape alone counts.
 LEAST_TERMS = 8
 SHARE = 0.5
@@ -154,7 +155,7 @@ def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple
 
 
 def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) -> DataFrame:
-    """(block, slope, level, tail, divergence, near): the curve of each block of LEAST_TERMS terms or more."""
+    """(block, slope, level, tail, residual, divergence, near): the curve of each block of LEAST_TERMS terms or more."""
     languages = sorted(reference)
     spark = blocks.sparkSession
     shares: dict[str, list[float | None]] = {}
@@ -166,7 +167,8 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
     # the curve needs the frequencies alone: eight-byte rows go through the one shuffle
     ranked = curved.select("block", F.explode("freqs").alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("f"))))
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("f").cast("double"))
-    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"))
+    off_line = F.sqrt(F.greatest(F.regr_syy(y, x) * (1 - F.regr_r2(y, x)), F.lit(0.0)) / F.count(F.lit(1)))
+    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.coalesce(off_line, F.lit(0.0)).alias("residual"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"))
     # a block's terms lie in one task, so its divergence sums are whole before their shuffle
     met = curved.select("block", "n", F.explode(F.arrays_zip("terms", "freqs")).alias("t")).select("block", (F.col("t.freqs") / F.col("n")).alias("p"), F.col("t.terms").alias("term")).join(F.broadcast(known), "term")
     sums = []
@@ -180,7 +182,7 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
         rest = max(1e-3, 1 - sum(q for _, q in reference[language]))
         options.append(F.struct((F.coalesce(f"d{k}", F.lit(0.0)) + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near")))
     best = F.array_min(F.array(*options)) if options else F.struct(F.lit(0.0).alias("divergence"), F.lit(None).cast("string").alias("near"))
-    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "best.divergence", "best.near")
+    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "residual", "best.divergence", "best.near")
 
 
 def _middles(prose: DataFrame, by: list[str]) -> DataFrame:
@@ -232,7 +234,7 @@ def spam_block() -> Column:
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, spam_share, slope_off, level_off, tail_off, divergence_off) of each page: the share of its characters in spam blocks, and its blocks' widest distances from prose."""
+    """(doc_id, spam_share, slope_off, level_off, tail_off, residual_off, divergence_off) of each page: the share of its characters in spam blocks, and its blocks' widest distances from prose."""
     blocks = materialize(page_blocks(documents), "page-blocks")
     marked = judged(blocks, curves(blocks, prose_terms(blocks)))
     release(blocks)

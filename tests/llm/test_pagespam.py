@@ -77,3 +77,12 @@ def test_empty_and_one_page(spark):
     assert pagespam.spam_pages(spark.createDataFrame([], schema)).collect() == []
     one = spark.createDataFrame([(1, "\n".join(f"https://w{i}.example/a" for i in range(30)), None)], schema)
     assert [r[0] for r in pagespam.spam_pages(one).collect()] == [1]
+
+
+def test_residual_of_the_fit(spark):
+    text = "one one one one one two two two three four five six seven eight nine ten ten eleven."
+    blocks = pagespam.page_blocks(spark.createDataFrame([(1, text, "en"), (2, "a b c d e f g h i j.", "en")], "doc_id bigint, text string, lang string"))
+    got = [r["residual"] for r in pagespam.curves(blocks, {}).orderBy("block").collect()]
+    y = np.log([5, 3, 2] + [1] * 8)
+    x = np.log(np.arange(1, 12))
+    assert np.isclose(got[0], np.sqrt(np.mean((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2))) and np.isclose(got[1], 0)

@@ -13,7 +13,8 @@ length (powers of two). Blocks off them are checked for what makes them spam,
 and a page is found if such blocks cover more than half of its characters.
 
 Lines that recur within a block count once in its curve, so refrains do not
-look like keywords; numbered tracks with durations are never spam.
+look like keywords. Few lines without function words that make up a block by
+recurring over and over are spam whatever their curve. Numbered tracks with durations never are.
 
 Defined results: null and empty texts are no pages; rows
 with a null id are left out; rows that share an id are pages of their own, and
@@ -30,6 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions.words import ENGLISH, ITALIAN
 from lodeworks.llm.langid import language_code
 from lodeworks.session import materialize, release
 
@@ -44,6 +46,8 @@ LEAST_BLOCKS = 30
 MEASURES = ("slope", "level", "tail", "residual", "divergence")
 #: Blocks of fewer terms have no curve; their shape alone counts.
 LEAST_TERMS = 8
+#: Lines of a block for each distinct one from which lines without function words are repeated keywords; refrains stay below.
+REPEATS = 8
 SHARE = 0.5
 
 _BREAK = re.compile(r"\r\n|\r|\n")
@@ -58,7 +62,8 @@ _LABEL = re.compile(r"^\w[\w ]{0,20}: ")
 #: What separates the entries of a list, and the entries it takes to be one.
 _DELIMITERS = ((" • ", 3), (" · ", 3), (" | ", 3), (" - ", 3), (";", 3), (">", 3), ("/", 3), (", ", 4))
 
-LINKS, TAGS, CODES, LIST, TRACKS, SHORT, PROSE = "links", "tags", "codes", "list", "tracks", "short", "prose"
+LINKS, TAGS, CODES, LIST, TRACKS, SHORT, PROSE, REPEATED = "links", "tags", "codes", "list", "tracks", "short", "prose", "repeated"
+_FUNCTION = frozenset(ENGLISH) | frozenset(ITALIAN)
 
 
 def shape(line: str) -> str:
@@ -88,6 +93,14 @@ def shape(line: str) -> str:
     return PROSE
 
 
+def keywords_repeated(lines: list[str]) -> bool:
+    """Whether lines without a sentence mark recur REPEATS times on average and most distinct ones hold no function word, as refrains do."""
+    distinct = set(lines)
+    if len(lines) < REPEATS * len(distinct) or any(_SENTENCE.search(x) for x in distinct):
+        return False
+    return 2 * sum(_FUNCTION.isdisjoint(_TERM.findall(x)) for x in distinct) > len(distinct)
+
+
 def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
     """(shape, characters, mean words a line, terms without recurring lines) of each block of a page."""
     runs: list[tuple[str, list[str]]] = []
@@ -105,7 +118,10 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
                 runs.append((kind, [line]))
     out = []
     for kind, lines in runs:
-        terms = _TERM.findall("\n".join(dict.fromkeys(x.lower() for x in lines)))
+        lower = [x.lower() for x in lines]
+        if kind in (SHORT, PROSE) and keywords_repeated(lower):
+            kind = REPEATED
+        terms = _TERM.findall("\n".join(dict.fromkeys(lower)))
         out.append((kind, sum(map(len, lines)), sum(x.count(" ") + 1 for x in lines) / len(lines), terms))
     return out
 
@@ -224,13 +240,14 @@ def spam_block() -> Column:
     Links, tags, codes, lists and short entries line by line need only lie
     outside the middle of prose (LISTED spreads; blocks too short for a sure
     curve count by their shape). Sentences need a level EXTREME spreads above
-    it and a tail below TAIL_PART (LONG_TAIL_PART) of its.
+    it and a tail below TAIL_PART (LONG_TAIL_PART) of its. Repeated keyword lines
+    are spam by their repetition, however few terms they leave.
     """
     outside = F.coalesce(F.col("widest") > LISTED, F.lit(True)) | (F.col("n") < 2 * LEAST_TERMS)
     listed = F.col("shape").isin(LINKS, TAGS, CODES, LIST)
     entries = (F.col("shape") == SHORT) & (F.col("line_words") <= 4.5) & (F.col("n") >= LEAST_TERMS)
     repeated = (F.col("shape") == PROSE) & (F.col("level_off") > EXTREME) & (F.col("tail_part") < F.when(F.col("n") < LONG, TAIL_PART).otherwise(LONG_TAIL_PART))
-    return F.coalesce(((listed | entries) & outside) | repeated, F.lit(False))
+    return F.coalesce(((listed | entries) & outside) | repeated | (F.col("shape") == REPEATED), F.lit(False))
 
 
 def page_scores(documents: DataFrame) -> DataFrame:

@@ -86,3 +86,20 @@ def test_residual_of_the_fit(spark):
     y = np.log([5, 3, 2] + [1] * 8)
     x = np.log(np.arange(1, 12))
     assert np.isclose(got[0], np.sqrt(np.mean((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2))) and np.isclose(got[1], 0)
+
+
+def test_few_lines_repeated_throughout(spark):
+    rng = np.random.default_rng(2)
+    rows, _, fine = pages()
+    spam = {
+        400: prose(rng, 1) + "\n" + "\n".join(str(x) for x in rng.choice(["cheap flats", "free ringtones", "moving boxes"], 300)),
+        401: "\n".join(["cheap flats rome free ringtones best guitar chords"] * 60),
+        402: "\n".join(["cheap flats rome free ringtones", "best guitar chords moving boxes"] * 60),
+    }
+    sung = {
+        403: "\n".join(["we were waiting for the rain"] * 40 + ["and you never came"] * 8),
+        404: "\n".join(["la notte è lunga", "senza di te non so che fare"] * 30),
+        405: "\n".join(["cheap flats", "free ringtones"] * 2) + "\n" + prose(rng, 6),
+    }
+    df = spark.createDataFrame([(i, t, "en") for i, t in [*rows, *fine.items(), *spam.items(), *sung.items()]], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in pagespam.spam_pages(df).collect()} == set(spam)

@@ -83,6 +83,10 @@ def p6_certificate(spark, sf_dir):
     return packing.certificate(_packed(spark, sf_dir))
 
 
+def p6_partitions(spark, sf_dir):
+    return packing.partition_certificate(_packed(spark, sf_dir))
+
+
 def p6_found(spark, sf_dir):
     return packing.cut_items(_packed(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -106,7 +110,7 @@ def p8_found(spark, sf_dir):
     return pagespam.spam_pages(spread_table(spark, sf_dir, "documents", PAGE))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_partitions, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _TERMS = """

@@ -166,16 +166,30 @@ def cut_items(placement: DataFrame) -> DataFrame:
 
 def certificate(placement: DataFrame) -> DataFrame:
     """(container, capacity, bins, lower_bound, unused_tokens, unused_share) over the whole placement."""
-    histogram = placement.groupBy("container", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))  # at most capacity + 1 rows a container
-    bins = placement.groupBy("container", "bin").agg(F.sum("size").alias("used")).groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("used"))
+    return _certified(placement, ["container"])
+
+
+def partition_certificate(placement: DataFrame) -> DataFrame:
+    """(container, partition, capacity, bins, lower_bound, unused_tokens, unused_share) of each partition by its own bound.
+
+    A partition is named by the round and slot that packed its bins last; the
+    full pieces of cut items are one of their own. A partition whose items of
+    bins with room were exchanged is judged by the items that it kept.
+    """
+    return _certified(placement.withColumn("partition", F.regexp_extract("bin", r"^(full|\d+-\d+)-", 1)), ["container", "partition"])
+
+
+def _certified(placement: DataFrame, by: list[str]) -> DataFrame:
+    histogram = placement.groupBy(*by, "capacity", "size").agg(F.count(F.lit(1)).alias("n"))  # at most capacity + 1 rows a group
+    bins = placement.groupBy(*by, "bin").agg(F.sum("size").alias("used")).groupBy(*by).agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("used"))
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity = int(pdf["capacity"].iat[0])
-        return pd.DataFrame({"container": [pdf["container"].iat[0]], "capacity": [capacity], "lower_bound": [lower_bound(dict(zip(pdf["size"].astype(int), pdf["n"].astype(int))), capacity)]})
+        return pd.DataFrame({**{c: [pdf[c].iat[0]] for c in by}, "capacity": [capacity], "lower_bound": [lower_bound(dict(zip(pdf["size"].astype(int), pdf["n"].astype(int))), capacity)]})
 
-    bounds = histogram.groupBy("container").applyInPandas(bound, "container string, capacity int, lower_bound bigint")
+    bounds = histogram.groupBy(*by).applyInPandas(bound, "".join(f"{c} string, " for c in by) + "capacity int, lower_bound bigint")
     space = F.col("bins") * F.col("capacity")
-    return bounds.join(bins, "container").select("container", "capacity", "bins", "lower_bound", (space - F.col("used")).alias("unused_tokens"), F.round((space - F.col("used")) / space, 6).alias("unused_share"))
+    return bounds.join(bins, by).select(*by, "capacity", "bins", "lower_bound", (space - F.col("used")).alias("unused_tokens"), F.round((space - F.col("used")) / space, 6).alias("unused_share"))
 
 
 def sized_by_words(documents: DataFrame) -> DataFrame:

@@ -80,6 +80,20 @@ def test_packing_exchanges_between_partitions(spark):
     assert proof["small"]["bins"] < plain["small"]["bins"] or proof["small"]["bins"] == proof["small"]["lower_bound"]
 
 
+def test_every_partition_has_its_bound(spark):
+    items = [(i, (i * 37) % 90 + 1, "") for i in range(900)] + [(1000, 250, "")]
+    packed = packing.pack(spark.createDataFrame(items, ITEMS), spark.createDataFrame([("small", 100, 1), ("big", 250, 1)], KINDS), per_partition=60)
+    rows = packed.collect()
+    parts = packing.partition_certificate(packed).collect()
+    whole = {r["container"]: r for r in packing.certificate(packed).collect()}
+    assert len(parts) > 4 and {(r["container"], r["partition"]) for r in parts if r["partition"] == "full"} == {("small", "full")}
+    for name in ("small", "big"):
+        assert sum(r["bins"] for r in parts if r["container"] == name) == whole[name]["bins"]
+    for p in parts:
+        mine = [r for r in rows if r["container"] == p["container"] and r["bin"].startswith(p["partition"] + "-")]
+        assert p["bins"] == len({r["bin"] for r in mine}) and p["lower_bound"] == packing.lower_bound(Counter(r["size"] for r in mine), p["capacity"]) <= p["bins"]
+
+
 def test_repeated_ids_and_empty_tables(spark):
     containers = spark.createDataFrame([("c", 10, 1)], KINDS)
     rows = packing.pack(spark.createDataFrame([(1, 7, ""), (1, 7, ""), (None, 3, "")], ITEMS), containers).collect()

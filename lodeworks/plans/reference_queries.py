@@ -184,6 +184,11 @@ def cluster_agreement(spark, sf_dir):
     return cluster.agreement(_assigned(spark, sf_dir), _points(spark, sf_dir))
 
 
+def kmeans_agreement(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return cluster.agreement(kmeans(spark, sf_dir).withColumnRenamed("vec_id", "id"), points)
+
+
 def svd_reduce(spark, sf_dir):
     return cluster.svd(_points(spark, sf_dir), 10)[0].select(F.col("id").alias("vec_id"), F.transform("reduced", lambda x: F.round(x, 4)).alias("reduced"))
 
@@ -294,7 +299,7 @@ QUERIES = {
     for f in (
         play_counts_having, basket_lists, postings, track_users, top_tracks, top_pairs, grouped_avg, dedup_first, distinct_links, extract_pages,
         tokenize_counts, doc_freq, tfidf_index, search_top22, stemmed_tokens, shingle_counts, class_members, minhash_signature, lsh_bands, lsh_pairs,
-        lsh_duplicates, jaccard_exact, lsh_recall, kmeans_assign, kmeans_step, kmeans, farthest_first, cluster_agreement, svd_reduce,
+        lsh_duplicates, jaccard_exact, lsh_recall, kmeans_assign, kmeans_step, kmeans, farthest_first, cluster_agreement, kmeans_agreement, svd_reduce,
         svd_singular_values, svd_reconstruct, svd_synthetic, synthetic_points, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
         encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval,
     )

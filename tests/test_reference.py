@@ -152,6 +152,19 @@ def test_kmeans_runs_until_no_point_changes(spark):
         cluster.kmeans(points, np.array(line[:5]), 20)
 
 
+def test_agreement_of_the_kmeans_result(spark, tmp_path):
+    from lodeworks.plans import reference_queries as q
+
+    rows = [(i, [float(i), float(i % 3)], i % 5) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found, known = {}, {}
+    for r in q.kmeans(spark, str(tmp_path)).collect():
+        found.setdefault(r["cluster"], set()).add(r["vec_id"])
+        known.setdefault(r["vec_id"] % 5, set()).add(r["vec_id"])
+    want = {label: round(max(len(a & b) / len(a | b) for b in found.values()), 6) for label, a in known.items()}
+    assert {r["label"]: r["jaccard"] for r in q.kmeans_agreement(spark, str(tmp_path)).collect()} == want
+
+
 def test_reconstruction(spark):
     points = cluster.synthetic_points(spark, 3, 20, 2)
     x = np.array([r["vector"] for r in points.orderBy("id").collect()])

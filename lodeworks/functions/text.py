@@ -36,6 +36,11 @@ def trimmed(column: Column) -> Column:
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
+def longer_than(column: Column, n: int) -> Column:
+    """Whether the column has more than n characters once trimmed() (n of 1 or more), without writing the trimmed text; null is false."""
+    return F.coalesce(column.rlike(rf"(?s)\S.{{{n - 1},}}?\S"), F.lit(False))
+
+
 def tokens(column: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; null gives null."""
     return F.regexp_extract_all(F.lower(column), F.lit(f"({WORD})"), 1)

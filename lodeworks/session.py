@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def scope():
+    """Removes, at its end, the tables that materialize() wrote inside it; results that read them must be stored by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for entry in _written[before:]:
+            _remove(*entry)
+        del _written[before:]
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables of materialize() that no lazy result reads any more."""
     for table in tables:

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize
 
+#: Rows of a block.
 BLOCK = 2000
 
 
-def pairs_within(rows: DataFrame, key: str, ident: str, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def pairs_within(rows: DataFrame, key: str, ident: str, carry: list[str] | None = None, block: int | None = None) -> DataFrame:
     """(x, y, and each carried column as c_x and c_y): every two rows of the same key and different ident, once, in either order.
 
-    A key of more than `block` rows is cut into blocks that meet two by two,
+    A key of more than `block` (else BLOCK) rows is cut into blocks that meet two by two,
     each meeting a join key of its own, so its pairs are spread over as many
     tasks as they need and no task holds more than two blocks of it. ident
     should be unique within a key; null keys and idents pair with nothing.
     rows is read more than once and should be cheap to read.
     """
-    carry = carry or []
+    carry, block = carry or [], block or BLOCK
     held = [f"__{c}" for c in carry]  # the carried columns may have any name
     kept = rows.filter(F.col(key).isNotNull() & F.col(ident).isNotNull()).select(F.col(key).alias("k"), F.col(ident).alias("id"), *(F.col(c).alias(h) for c, h in zip(carry, held)))
     left, right = blocks_of_pairs(kept, held, block)
@@ -41,14 +42,15 @@ def blocks_of_pairs(kept: DataFrame, held: list[str], block: int) -> tuple[DataF
     return left, right
 
 
-def meet(left: DataFrame, right: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, key: str, block: int | None = None) -> DataFrame:
     """The inner join of two tables on one key that may hold much on either side.
 
-    Where a key has more than `block` rows on a side, its rows there are cut
+    Where a key has more than `block` (else BLOCK) rows on a side, its rows there are cut
     into blocks, and each meets every block of the other side under a join key
     of its own. Both tables are read more than once and should be cheap to
     read; they share no other column. Null keys meet nothing.
     """
+    block = block or BLOCK
     counts = [side.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "__nl"), (right, "__nr"))]
     most = [c.agg(F.coalesce(F.max(n), F.lit(0))).first()[0] for c, n in zip(counts, ("__nl", "__nr"))]
     if max(most) <= block:

@@ -61,21 +61,21 @@ def salted_aggregate(df: DataFrame, keys: list[str], aggregates: list[Partial],
     return partials.groupBy(*keys).agg(*(a.merged(a.name).alias(a.name) for a in aggregates))
 
 
-def with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], count: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """The inner join of rows with sizes (one row a key, `count` its rows) that gathers no key which holds much in one task.
+def with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The inner or left join of rows with sizes (one row a key, `count` its rows) that gathers no key which holds much in one task.
 
     total is the sum of count over all keys, or more. Keys of more than
     total / hot_keys rows are fewer than hot_keys whatever the data's size;
     they are broadcast and leave their rows in place, all others meet in a
-    hash join. Rows with a null key are left out. sizes should be a stored
+    hash join. An inner join leaves out null keys. sizes should be a stored
     table, since both parts read it.
     """
     bar = max(1, total // hot_keys)
     hot, cold = sizes.filter(F.col(count) > bar), sizes.filter(F.col(count) <= bar)
     if hot.isEmpty():
-        return rows.join(cold, keys)
+        return rows.join(cold, keys, how)
     listed = F.broadcast(hot.select(*keys))
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(listed, keys, "left_anti").join(cold, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(listed, keys, "left_anti").join(cold, keys, how))
 
 
 def clean_key(column: str) -> Column:

@@ -12,8 +12,9 @@
    the similarity; pairs far below the threshold go.
 5. The rest is verified on the texts' shingle sets.
 
-A pair of similarity 0.7 shares a band with probability above 0.9998; no cap
-limits a bucket, a text's partners or the candidates.
+A pair of similarity 0.7 shares a band, and a longer band, with probability
+above 0.9998; no cap limits a bucket, a text's copies, its partners or the
+candidates, and the result has one form at every size.
 
 Defined results: null texts and texts below min_chars after normalisation
 have no pairs (classes() gives them a class of their own); a null id is left
@@ -27,8 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.hashing import MIX, char_shingles, in_chunks, mixed
 from lodeworks.functions.text import normalised
-from lodeworks.session import materialize, partitions_for, release
+from lodeworks.operators.pairs import meet, pairs_within
+from lodeworks.operators.skew import with_sizes
+from lodeworks.session import materialize, release
 
 BUCKETS, ROUNDS = 16, 15
 ROWS, BANDS = 5, 48
@@ -39,32 +43,13 @@ EMPTY = 0xFFFF
 DIRECT, BLOCK = 64, 1000
 #: Standard errors of the estimate that a candidate may lie below the threshold.
 SLACK = 5.0
-#: Copies of one text that are listed pair by pair; of larger groups the representative stands for all.
-EXPAND = 50
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEYS = np.random.default_rng(20240229).integers(1, 2**63, ROUNDS, dtype=np.uint64) | np.uint64(1)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+#: Buckets of more texts are banded anew by longer bands before any block is compared.
+REBAND = 4000
+LONG_ROWS, LONG_BANDS = 8, 150
 
-def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): a 64-bit hash of every k consecutive characters; texts are at least k long."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    rolled = np.zeros(max(0, len(codes) - k + 1), dtype=np.uint64)
-    for j in range(k):
-        rolled = rolled * _MIX + codes[j : len(codes) - k + 1 + j]
-    ends = np.cumsum(lengths)
-    keep = np.ones(len(rolled), dtype=bool)
-    for end in ends[:-1]:
-        keep[end - k + 1 : end] = False  # windows that run into the next text
-    counts = lengths - k + 1
-    return _mixed(rolled[keep]), np.concatenate([[0], np.cumsum(counts)])
+_KEYS = np.random.default_rng(20240229).integers(1, 2**63, ROUNDS, dtype=np.uint64) | np.uint64(1)
+_LONG = np.stack([np.random.default_rng(b).choice(REGISTERS, LONG_ROWS, replace=False) for b in range(LONG_BANDS)], axis=1)
 
 
 def word_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +70,7 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets)) * BUCKETS
     out = np.empty((n, ROUNDS, BUCKETS), dtype=np.uint16)
     for r in range(ROUNDS):
-        x = _mixed(hashes * _KEYS[r])
+        x = mixed(hashes * _KEYS[r])
         cell = owner + (x & np.uint64(BUCKETS - 1)).astype(np.int64)
         least = np.full(n * BUCKETS, np.iinfo(np.uint64).max, dtype=np.uint64)
         np.minimum.at(least, cell, x >> np.uint64(4))  # 60 bits
@@ -100,12 +85,13 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, REGISTERS)
 
 
-def bands(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((texts, BANDS) keys, mask of bands with a filled register)."""
-    cut = registers.reshape(len(registers), ROWS, BANDS).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, (len(registers), BANDS)).copy()
-    for row in range(ROWS):
-        keys = _mixed((keys ^ cut[:, row, :]) * _MIX + np.uint64(row + 1))
+def bands(registers: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, bands) keys, mask of bands with a filled register): BANDS bands of ROWS registers, or LONG_BANDS of LONG_ROWS."""
+    cut = registers[:, _LONG] if long else registers.reshape(len(registers), ROWS, BANDS)
+    cut, count = cut.astype(np.uint64), cut.shape[2]
+    keys = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64) * MIX, (len(registers), count)).copy()
+    for row in range(cut.shape[1]):
+        keys = mixed((keys ^ cut[:, row, :]) * MIX + np.uint64(row + 1))
     return keys.view(np.int64), (cut != EMPTY).any(axis=1)
 
 
@@ -148,23 +134,23 @@ def normal_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def copy_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, texts of representatives): members (id, rep, copies), texts (rep, norm). Texts meet by a 128-bit hash."""
-    keyed = texts.groupBy("id").agg(F.min("norm").alias("norm")).select("id", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
-    keyed = materialize(keyed, "neardup-texts")
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(keyed.select("id", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "rep", "copies"), "neardup-members")
-    return members, keyed.join(members.filter("id = rep").select("rep"), keyed["id"] == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "norm")
+    once = texts.groupBy("id").agg(F.min("norm").alias("norm")).select("id", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
+    once = materialize(once, "neardup-texts")
+    groups = materialize(once.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "neardup-copies")
+    known = with_sizes(once, groups, ["h1", "h2"], "copies", once.count(), "left").withColumn("rep", F.coalesce("rep", "id"))
+    members = materialize(known.select("id", "rep", F.coalesce("copies", F.lit(1)).alias("copies")), "neardup-members")
+    return members, known.filter("id = rep").select("rep", "norm")
 
 
 def similar_representatives(texts: DataFrame, shingle: int, threshold: float, words: bool = False) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of (rep, norm) rows whose shingle sets have at least the given Jaccard similarity."""
-    spark = texts.sparkSession
     cutter = word_shingles if words else char_shingles
     cutoff = _cutoff(threshold)
 
     def sketch(batches):
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at, end in in_chunks(batch["norm"].tolist()):
+                part = batch.iloc[at:end]
                 registers = sketches(*cutter(part["norm"].tolist(), shingle))
                 keys, used = bands(registers)
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "norm": part["norm"].to_numpy(), "sketch": [r.tobytes() for r in registers], "bands": [k[u] for k, u in zip(keys, used)]})
@@ -172,16 +158,7 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
     numbered = materialize(
         texts.mapInPandas(sketch, "rep string, norm string, sketch binary, bands array<bigint>").withColumn("no", F.monotonically_increasing_id()), "neardup-sketches"
     )
-    rows = numbered.count() * BANDS
-    keyed = numbered.select("no", F.explode("bands").alias("band")).repartition(partitions_for(spark, rows, 2_000_000), "band")
-    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(keyed.join(sizes, "band"), "neardup-buckets")
-    small = shared.filter(F.col("n") <= DIRECT).select("band", "no")
-    pairs = small.select("band", F.col("no").alias("x")).join(small.select("band", F.col("no").alias("y")), "band").filter("x < y").select("x", "y")
-    large = shared.filter(F.col("n") > DIRECT)
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_block_pairs(large, numbered, cutoff))
-    pairs = pairs.distinct()
+    pairs = _candidates(numbered.select("no", F.explode("bands").alias("band")), numbered, cutoff).distinct()
     left = numbered.select(F.col("no").alias("x"), F.col("sketch").alias("sx"))
     right = numbered.select(F.col("no").alias("y"), F.col("sketch").alias("sy"))
 
@@ -194,10 +171,23 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
     likely = materialize(pairs.join(left, "x").join(right, "y").mapInPandas(estimate, "x bigint, y bigint"), "neardup-candidates")
 
     def verify(batches):
+        sets: dict[str, set[str]] = {}  # a text of many partners is cut once
+        held = 0
+
+        def cut(key: str, text: str) -> set[str]:
+            nonlocal held
+            if (found := sets.get(key)) is None:
+                if held > 3_000_000:
+                    sets.clear()
+                    held = 0
+                found = sets[key] = shingle_set(text, shingle, words)
+                held += len(found)
+            return found
+
         for batch in batches:
             found = []
             for a, b, s, t in zip(batch["a"], batch["b"], batch["s"], batch["t"]):
-                one, two = shingle_set(s, shingle, words), shingle_set(t, shingle, words)
+                one, two = cut(a, s), cut(b, t)
                 same = len(one & two)
                 if same and same >= threshold * (len(one) + len(two) - same) - 1e-9:
                     found.append((*sorted((a, b)), same / (len(one) + len(two) - same)))
@@ -206,10 +196,47 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
     left = numbered.select(F.col("no").alias("x"), F.col("rep").alias("a"), F.col("norm").alias("s"))
     right = numbered.select(F.col("no").alias("y"), F.col("rep").alias("b"), F.col("norm").alias("t"))
     found = materialize(likely.join(left, "x").join(right, "y").mapInPandas(verify, "a string, b string, similarity double"), "neardup-pairs")
-    release(numbered, shared, likely)
+    release(numbered, likely)
     return found
 
 
+def _candidates(keyed: DataFrame, numbered: DataFrame, cutoff: float, long: bool = False) -> DataFrame:
+    """(x, y), x < y: texts that share a band of keyed (no, band), pairs of great buckets by their sketches; may repeat.
+
+    Buckets of two need no join. Those of up to DIRECT texts meet in a
+    self-join. Texts of buckets of more than REBAND are banded anew, all at
+    once, by longer bands, which part what a stock phrase brought together and
+    find a pair with the same probability. Other great buckets are compared in
+    blocks.
+    """
+    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("x"), F.max("no").alias("y")).filter("n > 1")
+    sizes = materialize(sizes, "neardup-bands")
+    pairs = sizes.filter("n = 2").select("x", "y")
+    more = sizes.filter("n > 2").select("band", "n")
+    known = more.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if not known["most"]:
+        return pairs
+    shared = materialize(with_sizes(keyed, more, ["band"], "n", known["rows"]), "neardup-buckets")
+    small = shared.filter(F.col("n") <= DIRECT).select("band", "no")
+    pairs = pairs.unionByName(small.select("band", F.col("no").alias("x")).join(small.select("band", F.col("no").alias("y")), "band").filter("x < y").select("x", "y"))
+    if known["most"] > DIRECT:
+        great = F.col("n") > DIRECT if long else (F.col("n") > DIRECT) & (F.col("n") <= REBAND)
+        pairs = pairs.unionByName(_block_pairs(shared.filter(great), numbered, cutoff))
+    if known["most"] > REBAND and not long:
+
+        def rebanded(batches):
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    part = batch.iloc[at : at + 500]
+                    keys, used = bands(np.frombuffer(b"".join(part["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS), long=True)
+                    yield pd.DataFrame({"no": part["no"].to_numpy(), "bands": [k[u] for k, u in zip(keys, used)]})
+
+        hot = numbered.select("no", "sketch").join(shared.filter(F.col("n") > REBAND).select("no").distinct(), "no", "left_semi")
+        longer = materialize(hot.mapInPandas(rebanded, "no bigint, bands array<bigint>"), "neardup-long-bands")
+        pairs = pairs.unionByName(_candidates(longer.select("no", F.explode("bands").alias("band")), numbered, cutoff, long=True))
+    return pairs
+
+
 def shingle_set(text: str, k: int, words: bool = False) -> set[str]:
     if words:
         w = text.split(" ")
@@ -242,25 +269,30 @@ def _block_pairs(large: DataFrame, numbered: DataFrame, cutoff: float) -> DataFr
     return meet.join(numbered.select("no", "sketch"), "no").groupBy("band", "i", "j").applyInPandas(compare, "x bigint, y bigint")
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: float, min_chars: int, words: bool = False) -> DataFrame:
-    """(a, b), a < b: ids whose normalised texts are that similar, copies included.
-
-    Of a text with more than EXPAND copies the representative stands for all
-    in pairs with other texts, and the copies are listed as pairs with it.
-    """
+def representative_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: float, min_chars: int, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity) of representatives of different texts, members (id, rep, copies) of every id."""
     texts = normal_texts(df, key, text).filter(F.length("norm") >= min_chars)
     if words:
         texts = texts.filter(F.size(F.split("norm", " ")) >= shingle)
     members, reps = copy_classes(texts)
-    near = similar_representatives(reps, shingle, threshold, words)
-    listed = members.filter((F.col("copies") <= EXPAND) | (F.col("id") == F.col("rep"))).select("id", "rep")
-    one, two = (listed.select(F.col("id").alias(f"id_{c}"), F.col("rep").alias(c)) for c in "ab")
-    across = near.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return similar_representatives(reps, shingle, threshold, words), members
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: float, min_chars: int, words: bool = False) -> DataFrame:
+    """(a, b), a < b: all pairs of ids whose normalised texts are that similar, every copy of a text listed.
+
+    n copies of one text are n * (n - 1) / 2 pairs; where that is too much,
+    representative_pairs() gives the same links without them.
+    """
+    near, members = representative_pairs(df, key, text, shingle, threshold, min_chars, words)
+    pairs = near.select("a", "b")
     copies = members.filter("copies > 1")
-    few = copies.filter(F.col("copies") <= EXPAND)
-    within = few.select("rep", F.col("id").alias("a")).join(few.select("rep", F.col("id").alias("b")), "rep").filter("a < b").select("a", "b")
-    stars = copies.filter((F.col("copies") > EXPAND) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return across.unionByName(within).unionByName(stars)
+    if copies.isEmpty():
+        return pairs
+    one, two = (members.select(F.col("id").alias(f"id_{c}"), F.col("rep").alias(c)) for c in "ab")
+    across = meet(materialize(meet(pairs, one, "a"), "neardup-copied"), two, "b")
+    within = pairs_within(copies, "rep", "id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).unionByName(within)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,12 +316,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: neighbours of each node are linked to the smallest of them and the node itself."""
+    """One contraction: neighbours of each node are linked to the smallest of them and the node itself; a node of many edges is no burden."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "components-least")
+    linked = with_sizes(both, least, ["u"], "n", 2 * edges.count())
     if large:
         return linked.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
     return linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a < b")
@@ -297,16 +329,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def classes(df: DataFrame, key: str, text: str, shingle: int, threshold: float, min_chars: int, words: bool = False) -> DataFrame:
     """(id, class_id, links): for every id its class, named by its smallest id, and its number of similar other texts and copies."""
-    every = normal_texts(df, key, text)
-    texts = every.filter(F.length("norm") >= min_chars)
-    if words:
-        texts = texts.filter(F.size(F.split("norm", " ")) >= shingle)
-    members, reps = copy_classes(texts)
-    near = similar_representatives(reps, shingle, threshold, words)
+    near, members = representative_pairs(df, key, text, shingle, threshold, min_chars, words)
     sizes = members.filter("id = rep").select("rep", "copies")
     roots = components(near)
     sides = near.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     links = sides.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("near"))
-    known = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
+    info = materialize(sizes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").join(links, "rep", "left"), "neardup-classes")
+    known = with_sizes(members.select("id", "rep"), info, ["rep"], "copies", members.count())
     known = known.select("id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return every.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    every = df.select(F.col(key).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
+    return every.join(known, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

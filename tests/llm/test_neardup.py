@@ -4,7 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodeworks.functions.text import normalised
+from lodeworks.functions.hashing import char_shingles
 from lodeworks.llm import neardup as nd
+from lodeworks.operators import pairs
 
 SCHEMA = "links string, descriptions string, id string, rep string"
 
@@ -51,13 +53,34 @@ def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert find(spark, rows) == truth(rows)
 
 
-def test_many_copies_are_a_star(spark, monkeypatch):
-    monkeypatch.setattr(nd, "EXPAND", 3)
+@pytest.mark.parametrize("copies", [51, 300])
+def test_every_copy_is_listed(spark, monkeypatch, copies):
+    monkeypatch.setattr(pairs, "BLOCK", 40)
     text = "bilocale luminoso in zona tranquilla vicino alla stazione con balcone e cantina al terzo piano"
-    rows = [(f"c{i}", text.upper() if i % 2 else text + "!") for i in range(6)] + [("z", text + " oggi"), ("y", text + " ora")]
-    got = find(spark, rows)
-    assert {("c0", f"c{i}") for i in range(1, 6)} <= got and ("c0", "z") in got and ("y", "z") in got
-    assert ("c1", "c2") not in got
+    rows = [(f"c{i:04d}", text.upper() if i % 2 else text + "!") for i in range(copies)] + [("z", text + " oggi"), ("y", text + " ora"), ("a", text + " ora"), ("x", "altro " * 30)]
+    assert find(spark, rows) == truth(rows)
+
+
+def test_thousands_of_copies(spark):
+    text = "bilocale luminoso in zona tranquilla vicino alla stazione con balcone e cantina al terzo piano"
+    rows = [(f"c{i:04d}", text) for i in range(5000)] + [("z", text + " oggi")]
+    found = nd.similar_pairs(ads(spark, rows), "links", "descriptions", 10, 0.7, 80)
+    assert found.count() == found.distinct().count() == 5000 * 4999 // 2 + 5000 and found.filter("b = 'z'").count() == 5000
+    near, members = nd.representative_pairs(ads(spark, rows), "links", "descriptions", 10, 0.7, 80)
+    assert [(r["a"], r["b"]) for r in near.collect()] == [("c0000", "z")] and members.filter("rep = 'c0000' AND copies = 5000").count() == 5000
+
+
+def test_very_great_buckets_are_banded_anew(spark, monkeypatch):
+    rows = edited(220, 6, families=2)
+    for name, value in (("DIRECT", 5), ("REBAND", 30), ("BLOCK", 40)):
+        monkeypatch.setattr(nd, name, value)
+    assert find(spark, rows) == truth(rows)
+
+
+def test_a_hub_of_components(spark):
+    edges = spark.createDataFrame([("a", f"n{i:05d}") for i in range(4000)] + [(f"n{i:05d}", f"z{i:05d}") for i in range(0, 4000, 7)], "a string, b string")
+    got = nd.components(edges)
+    assert got.filter("root = 'a'").count() == got.count() == 4001 + len(range(0, 4000, 7))
 
 
 def test_nulls_short_and_repeated_rows(spark):
@@ -119,7 +142,7 @@ def test_disjoint_sets_estimate_nothing():
 @given(st.lists(st.text(min_size=10, max_size=60), min_size=1, max_size=6))
 @settings(max_examples=50, deadline=None)
 def test_shingle_hashes_follow_the_substrings(texts):
-    hashes, offsets = nd.char_shingles(texts, 10)
+    hashes, offsets = char_shingles(texts, 10)
     parts = [t[i : i + 10] for t in texts for i in range(len(t) - 9)]
     assert list(np.diff(offsets)) == [len(t) - 9 for t in texts] and len(hashes) == len(parts)
     assert len(set(hashes.tolist())) == len(set(parts))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import trimmed
+from lodeworks.functions.text import longer_than
 from lodeworks.session import materialize
 
 #: Bins of the key histogram; a boundary bin holds about a 4096th of a category.
@@ -34,7 +34,7 @@ def category(column: str) -> Column:
 
 def eligible(songs: DataFrame) -> DataFrame:
     """(idx, category): one row for each idx that has lyrics."""
-    usable = songs.filter(F.col("idx").isNotNull() & (F.length(trimmed(F.col("lyrics"))) > MIN_CHARS))
+    usable = songs.filter(F.col("idx").isNotNull() & (longer_than(F.col("lyrics"), MIN_CHARS)))
     return usable.select("idx", category("genre").alias("category")).groupBy("idx").agg(F.min("category").alias("category"))
 
 
@@ -67,15 +67,19 @@ def allocate(total: int, shares: list[int], floors: list[int], caps: list[int])
     return [quota[i] for i in range(len(shares))]
 
 
-_REPORT = "set_id int, genre string, category string, sample_rows bigint, needed bigint, available bigint, quota bigint, shortfall bigint"
+_REPORT = "set_id int, genre string, category string, sample_rows bigint, needed bigint, available bigint, quota bigint, shortfall bigint, unmet bigint, overdrawn bigint"
 
 
 def quota_report(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: what it needs, what there is, the quota allotted and the rows short.
+    """One row per target: what it needs, what there is, the quota allotted and where the target is missed.
 
     needed is the larger of min_rows and sample_rows * target_pct / 100
-    rounded up; shortfall is needed less available, at least 0. Targets of a
-    set that name the same category share one quota, shown with each.
+    rounded up; shortfall is needed less available, unmet is needed less
+    quota, both at least 0: the second also counts what the floors of other
+    categories took away. overdrawn is by how many rows the quotas of the set
+    exceed its sample, since floors are kept even where they add up to more.
+    Targets of a set that name the same category share one quota, shown with
+    each.
     """
     wanted = targets.select("set_id", "genre", category("genre").alias("category"), *(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("target_pct", "min_rows", "sample_rows"))).distinct()
     counts = candidates.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
@@ -89,7 +93,9 @@ def quota_report(candidates: DataFrame, targets: DataFrame) -> DataFrame:
         needed = [max(m, -(-s * p // 100)) for m, s, p in zip(pdf["min_rows"], pdf["sample_rows"], pdf["target_pct"])]
         out = pdf.assign(needed=needed, quota=[quotas[c] for c in pdf["category"].fillna("\0")])
         out["shortfall"] = (out["needed"] - out["available"]).clip(lower=0)
-        return out[["set_id", "genre", "category", "sample_rows", "needed", "available", "quota", "shortfall"]]
+        out["unmet"] = (out["needed"] - out["quota"]).clip(lower=0)
+        out["overdrawn"] = max(0, sum(quotas.values()) - total)
+        return out[[c.split()[0] for c in _REPORT.split(", ")]]
 
     return known.groupBy("set_id").applyInPandas(per_set, _REPORT)  # a group is one set's list of targets
 
@@ -97,8 +103,9 @@ def quota_report(candidates: DataFrame, targets: DataFrame) -> DataFrame:
 def quota_sample(candidates: DataFrame, report: DataFrame, seed: int = 7) -> DataFrame:
     """(set_id, category, idx): for each set the quota's smallest hash keys of each category, ties by idx."""
     quotas = report.filter("category IS NOT NULL AND quota > 0").select("set_id", "category", "quota").distinct()
-    key = F.xxhash64(F.lit(seed), F.col("set_id"), F.col("idx")).bitwiseAND(F.lit(2**63 - 1))
-    keyed = candidates.join(quotas, "category").withColumn("key", key).withColumn("bin", F.shiftright("key", 63 - BINS_LOG2))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "set_id", "idx").cast("binary"))
+    key = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint")  # 60 bits
+    keyed = candidates.join(quotas, "category").withColumn("key", key).withColumn("bin", F.shiftright("key", 60 - BINS_LOG2))
     group = ["set_id", "category"]
     histogram = keyed.groupBy(*group, "quota", "bin").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.partitionBy(*group).orderBy("bin"))  # at most 2**BINS_LOG2 rows a group

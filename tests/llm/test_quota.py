@@ -47,8 +47,16 @@ ROWS = [(i, "Rock" if i % 3 else "hip hop", "words " * 5) for i in range(300)] +
 
 def test_report(spark):
     report = quota.quota_report(quota.eligible(songs(spark, ROWS)), targets(spark, [(1, "ROCK ", 60, None, 50), (1, "Hip-Hop", 30, 120, 50), (1, "Ska", 10, 0, 50), (1, "Ska", 10, 0, 50), (2, None, None, None, 10)]))
-    got = {(r["set_id"], r["genre"]): (r["needed"], r["available"], r["quota"], r["shortfall"]) for r in report.collect()}
-    assert got == {(1, "ROCK "): (30, 200, 0, 0), (1, "Hip-Hop"): (120, 100, 100, 20), (1, "Ska"): (5, 0, 0, 5), (2, None): (0, 0, 0, 0)}
+    got = {(r["set_id"], r["genre"]): (r["needed"], r["available"], r["quota"], r["shortfall"], r["unmet"], r["overdrawn"]) for r in report.collect()}
+    assert got == {(1, "ROCK "): (30, 200, 0, 0, 30, 50), (1, "Hip-Hop"): (120, 100, 100, 20, 20, 50), (1, "Ska"): (5, 0, 0, 5, 5, 50), (2, None): (0, 0, 0, 0, 0, 0)}
+
+
+def test_floors_that_crowd_out_others_are_reported(spark):
+    many = [(i, "Rock" if i % 2 else "Jazz", "words " * 5) for i in range(2000)]
+    wanted = [(1, "Rock", 90, None, 100), (1, "Jazz", 10, 50, 100), (2, "Rock", 50, 20, 10), (2, "Jazz", 50, 20, 10)]
+    report = quota.quota_report(quota.eligible(songs(spark, many)), targets(spark, wanted))
+    got = {(r["set_id"], r["genre"]): (r["needed"], r["quota"], r["shortfall"], r["unmet"], r["overdrawn"]) for r in report.collect()}
+    assert got == {(1, "Rock"): (90, 50, 0, 40, 0), (1, "Jazz"): (50, 50, 0, 0, 0), (2, "Rock"): (20, 20, 0, 0, 30), (2, "Jazz"): (20, 20, 0, 0, 30)}
 
 
 def test_sample_takes_the_smallest_keys(spark, monkeypatch):

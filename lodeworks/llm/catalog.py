@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from lodeworks.llm import decontam, langid, neardup, packing, pagespam, quota, weights
@@ -62,8 +64,11 @@ def p5_found(spark, sf_dir):
     return weights.top_terms(*weights.term_weights(table(spark, sf_dir, "preprocessed_dataset_kijiji"), local="tf", min_df=2))
 
 
-#: Vocabulary of the public byte-level BPE that p6_pack_bpe measures with.
-BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Vocabulary of the public byte-level BPE that p6_pack_bpe measures with, and how it splits a text before its merges.
+BPE = os.environ.get("LODEWORKS_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Documents of a partition in p6_exchange, few enough that the partitions have gaps to close.
+FEW = 500
 
 
 def _packed(spark, sf_dir):
@@ -75,7 +80,7 @@ def p6_pack(spark, sf_dir):
 
 
 def p6_pack_bpe(spark, sf_dir):
-    items = packing.sized_by_bpe(spread_table(spark, sf_dir, "documents", ["doc_id", "text"]), BPE)
+    items = packing.sized_by_bpe(spread_table(spark, sf_dir, "documents", ["doc_id", "text"]), BPE, BPE_PATTERN)
     return packing.pack(items, table(spark, sf_dir, "containers")).withColumnRenamed("id", "doc_id")
 
 
@@ -87,6 +92,12 @@ def p6_partitions(spark, sf_dir):
     return packing.partition_certificate(_packed(spark, sf_dir))
 
 
+def p6_exchange(spark, sf_dir):
+    """The certificate of a packing over many small partitions, which exchange their documents."""
+    packed = packing.pack(packing.sized_by_words(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"), per_partition=FEW)
+    return packing.certificate(packed)
+
+
 def p6_found(spark, sf_dir):
     return packing.cut_items(_packed(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -110,7 +121,7 @@ def p8_found(spark, sf_dir):
     return pagespam.spam_pages(spread_table(spark, sf_dir, "documents", PAGE))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_partitions, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_sample, p2_report, p2_found, p3_stanzas, p3_songs, p3_found, p5_weights, p5_found, p6_pack, p6_pack_bpe, p6_certificate, p6_partitions, p6_exchange, p6_found, p7_found, p7_cleaned, p8_scores, p8_found)}
 
 _CATEGORY = "regexp_replace(lower(genre), '[^a-z0-9]', '', 'g')"
 _ELIGIBLE = f"""eligible AS (SELECT idx, min({_CATEGORY}) AS category FROM lyrics

@@ -1,13 +1,12 @@
 """Filling containers of fixed capacity: bound-certified repacking.
 
-Items are spread over partitions and each partition is packed by best-fit
+Items are dealt out over partitions in order of their size, and each partition is packed by best-fit
 decreasing. Dual feasible functions give a lower bound on the containers that
-any packing needs, for each partition and over all items of a kind of
-container. Where the partitions together meet the bound of their kind, the
-packing is certified as the best there is. Where a gap is left, the partitions
-release the items of their containers with unused space, exchange them over
-new, fewer partitions and pack them again, until the bound is met, the number
-of containers stops falling or the rounds are used up.
+any packing of the partition needs: one that meets its bound is certified and
+stays as it is. Where a gap is left, partitions release the items of their
+containers with unused space, exchange them and are packed again. They do so in
+groups of two, then of four and so on up to all, and a group whose containers
+meet the bound of its items is certified and left out.
 
 An item above the capacity is cut into full pieces, each a container of its
 own, and a rest that is packed like any item. Defined results: items of size
@@ -20,19 +19,19 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import reduce
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import word_count
-from lodeworks.session import materialize, release
+from lodeworks.operators.songs import numbered
+from lodeworks.session import materialize
 
 #: Items of a first partition; large enough that its last open containers weigh little.
 ITEMS_PER_PARTITION = 20_000
-ROUNDS = 3
-#: Kinds of containers, a stated list, that a call takes.
-MAX_KINDS = 1000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -91,70 +90,86 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-_PACKED = "container string, capacity int, slot int, id bigint, piece int, size int, bin bigint, room int, bins bigint, bound bigint, round int"
+_PACKED = "container string, capacity int, round int, slot int, id bigint, piece int, size int, bin int, room int, bins int, bound int"
+_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 
 
-def _pack_round(items: DataFrame, round_no: int) -> DataFrame:
-    """Pack each (container, slot); every row gets its bin, the bin's room and the slot's bins and bound."""
+def _packed(items: DataFrame, round_no: int) -> DataFrame:
+    """Pack each partition (container, slot); every row gets its bin, the bin's room and the partition's bins and bound. Stored."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "piece"], ascending=[False, True, True])
         capacity, sizes = int(pdf["capacity"].iat[0]), pdf["size"].astype(int).tolist()
         place, rooms = best_fit_decreasing(sizes, capacity)
-        return pdf.assign(bin=place, room=[rooms[p] for p in place], bins=len(rooms), bound=lower_bound(Counter(sizes), capacity), round=round_no)[[c.split()[0] for c in _PACKED.split(", ")]]
+        return pdf.assign(bin=place, room=[rooms[p] for p in place], bins=len(rooms), bound=lower_bound(Counter(sizes), capacity), round=round_no)[_NAMES]
 
-    return items.groupBy("container", "slot").applyInPandas(one, _PACKED)
+    return materialize(items.groupBy("container", "slot").applyInPandas(one, _PACKED), "pack-round")
 
 
-def _bins(packed: DataFrame) -> dict[str, int]:
-    """Containers used of each kind: one row a kind."""
-    bins = packed.select("container", "slot", "bin").distinct()
-    return {x["container"]: x["bins"] for x in bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins")).collect()}
+def _exchanged(packed: DataFrame, slots: int, per_partition: int) -> DataFrame:
+    """The placement after partitions have exchanged what lies in bins with room, first two by two, then four by four and so on.
 
-
-def pack(items: DataFrame, containers: DataFrame, per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+    A group of partitions takes part only if its bins exceed the bound of its
+    own items; a certified group stays as it is. The released items are dealt
+    out over as few partitions as they need and packed again, and the result
+    is kept where it has fewer bins. Once all partitions are one group this
+    goes on for as long as it saves bins. Full bins never move again.
+    """
+    group = ["container", "group"]
+    sizes = materialize(packed.groupBy("container", "capacity", "slot", "size").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
+    loose, full = materialize(packed.filter("room > 0"), "pack-open"), packed.filter("room = 0")
+    settled, level, saved = [full], 0, False
+    counted = [materialize(full.groupBy("container", "slot").agg(F.count_distinct("bin").alias("bins")), "pack-full")]
+    while 1 << level < slots or saved:
+        level, saved = level + 1, False
+        at = F.shiftright("slot", level).alias("group")
+        bounds = _bounds(sizes.select("container", "capacity", at, "size", "n"), group, F.sum("n"))
+        pool = loose.groupBy("container", at).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("round", "slot", "bin").alias("bins"), F.count_distinct("slot").alias("partitions"))
+        fulls = reduce(DataFrame.unionByName, counted).groupBy("container", at).agg(F.sum("bins").alias("full"))
+        known = pool.join(bounds, group).join(fulls, group, "left").filter((F.col("bins") + F.coalesce("full", F.lit(0)) > F.col("lower_bound")) & (F.col("partitions") > 1))
+        slot_count = F.least(F.ceil(F.col("items") / per_partition), F.lit(1 << level)).cast("int")
+        gaps = materialize(known.select(*group, "bins", slot_count.alias("k")), "pack-gaps")
+        if gaps.isEmpty():
+            continue
+        met = loose.withColumn("group", at).join(gaps.drop("bins"), group)
+        dealt = F.pmod(F.xxhash64("round", "slot", "bin", "id", "piece", F.lit(level)), F.col("k")).cast("int")
+        again = _packed(met.select("container", "capacity", (F.shiftleft("group", level) + dealt).alias("slot"), "id", "piece", "size"), level)
+        after = again.groupBy("container", at).agg(F.count_distinct("slot", "bin").alias("after"))
+        better = materialize(gaps.join(after, group).filter("after < bins").select(*group), "pack-better")
+        if better.isEmpty():
+            continue
+        saved = 1 << level >= slots
+        taken = again.withColumn("group", at).join(better, group, "left_semi").drop("group")
+        settled.append(taken.filter("room = 0"))
+        counted.append(materialize(settled[-1].groupBy("container", "slot").agg(F.count_distinct("bin").alias("bins")), "pack-full"))
+        kept = loose.withColumn("group", at).join(better, group, "left_anti").drop("group")
+        loose = materialize(kept.unionByName(taken.filter("room > 0")), "pack-open")
+    return reduce(DataFrame.unionByName, [*settled, loose])
+
+
+def pack(items: DataFrame, containers: DataFrame, per_partition: int = ITEMS_PER_PARTITION, exchange: bool = True) -> DataFrame:
     """(container, capacity, id, piece, bin, size) for items (id, size) and containers (container, capacity_tokens).
 
     bin is unique within the container; the pieces of a cut item count from 0.
-    Containers without a positive capacity take nothing.
+    Containers without a positive capacity take nothing. The kinds of
+    containers are a stated list: each takes all items once.
     """
-    kinds = containers.filter("container IS NOT NULL AND capacity_tokens > 0").select("container", "capacity_tokens").distinct().limit(MAX_KINDS + 1).collect()
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    kinds = containers.filter("container IS NOT NULL AND capacity_tokens > 0").select("container", "capacity_tokens").distinct().collect()
     known = materialize(items.select("id", F.coalesce(F.col("size"), F.lit(0)).cast("int").alias("size"), F.monotonically_increasing_id().alias("row")), "pack-items")
     slots = max(1, -(-known.count() // per_partition))
+    if slots > 1:
+        known = numbered(known, [F.col("size"), F.col("row")], "place")
+        slot = F.pmod("place", F.lit(slots)).cast("int").alias("slot")  # every partition gets the like of every size
+    else:
+        slot = F.lit(0).alias("slot")
     kind = F.explode(F.array(*(F.struct(F.lit(k[0]).alias("container"), F.lit(k[1]).alias("capacity")) for k in kinds))) if kinds else F.explode(F.array().cast("array<struct<container:string,capacity:int>>"))
-    each = known.select("row", "id", "size", kind.alias("k")).select("row", "id", "size", "k.*")
+    each = known.select(slot, "id", "size", kind.alias("k")).select("slot", "id", "size", "k.*")
     cut = each.withColumn("whole", F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.col("capacity")).cast("int"))
     full = cut.filter("whole > 0").select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"), F.col("capacity").alias("size"))
     full = full.select("container", "capacity", "id", "piece", F.concat_ws("-", F.lit("full"), "id", "piece").alias("bin"), "size")
-    slot = F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int").alias("slot")
-    packed = materialize(_pack_round(cut.select("container", "capacity", slot, "id", F.col("whole").alias("piece"), (F.col("size") - F.col("whole") * F.col("capacity")).cast("int").alias("size")), 0), "pack-round")
-    sizes: dict[str, dict[int, int]] = {}
-    for x in packed.groupBy("container", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity + 1 rows a container
-        sizes.setdefault(x["container"], {})[x["size"]] = x["n"]
-    bounds = {k[0]: lower_bound(sizes[k[0]], k[1]) for k in kinds if k[0] in sizes}
-    used = _bins(packed)
-    for r in range(1, rounds + 1):
-        gaps = [c for c in used if used[c] > bounds[c]]
-        released = F.col("container").isin(gaps) & (F.col("room") > 0)
-        loose = packed.filter(released)
-        pools = {x["container"]: x for x in loose.groupBy("container", "slot").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bin").alias("bins")).groupBy("container").agg(F.count(F.lit(1)).alias("slots"), F.sum("n").alias("n"), F.sum("bins").alias("bins")).collect()}  # one row a container
-        fewer = {c: min(-(-x["n"] // per_partition), -(-x["slots"] // 2)) for c, x in pools.items() if x["slots"] > 1}
-        if not fewer:
-            break
-        new_slots = F.coalesce(*(F.when(F.col("container") == c, F.lit(k)) for c, k in fewer.items()))
-        again = loose.filter(F.col("container").isin(list(fewer))).withColumn("slot", F.pmod(F.xxhash64("slot", "bin", "id", F.lit(r)), new_slots).cast("int"))
-        repacked = materialize(_pack_round(again.select("container", "capacity", "slot", "id", "piece", "size"), r), "pack-round")
-        after = _bins(repacked)
-        better = [c for c in fewer if after[c] < pools[c]["bins"]]
-        if not better:
-            break
-        mine = F.col("container").isin(better)
-        before = packed
-        packed = materialize(before.filter(~(mine & released)).unionByName(repacked.filter(mine).withColumn("slot", F.col("slot") + r * 1_000_000)), "pack-round")
-        release(before, repacked)
-        used = {c: n - (pools[c]["bins"] - after[c] if c in better else 0) for c, n in used.items()}
+    packed = _packed(cut.select("container", "capacity", "slot", "id", F.col("whole").alias("piece"), (F.col("size") - F.col("whole") * F.col("capacity")).cast("int").alias("size")), 0)
+    if exchange and slots > 1:
+        packed = _exchanged(packed, slots, per_partition)
     name = F.concat_ws("-", "round", "slot", F.col("bin"))
     return full.unionByName(packed.select("container", "capacity", "id", "piece", name.alias("bin"), "size"))
 
@@ -179,17 +194,22 @@ def partition_certificate(placement: DataFrame) -> DataFrame:
     return _certified(placement.withColumn("partition", F.regexp_extract("bin", r"^(full|\d+-\d+)-", 1)), ["container", "partition"])
 
 
-def _certified(placement: DataFrame, by: list[str]) -> DataFrame:
-    histogram = placement.groupBy(*by, "capacity", "size").agg(F.count(F.lit(1)).alias("n"))  # at most capacity + 1 rows a group
-    bins = placement.groupBy(*by, "bin").agg(F.sum("size").alias("used")).groupBy(*by).agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("used"))
+def _bounds(pieces: DataFrame, by: list[str], count: Column | None = None) -> DataFrame:
+    """(by, capacity, lower_bound) of the pieces of each group, each of them a row or standing for a count of rows."""
+    histogram = pieces.groupBy(*by, "capacity", "size").agg((F.count(F.lit(1)) if count is None else count).alias("n"))  # at most capacity + 1 rows a group
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity = int(pdf["capacity"].iat[0])
         return pd.DataFrame({**{c: [pdf[c].iat[0]] for c in by}, "capacity": [capacity], "lower_bound": [lower_bound(dict(zip(pdf["size"].astype(int), pdf["n"].astype(int))), capacity)]})
 
-    bounds = histogram.groupBy(*by).applyInPandas(bound, "".join(f"{c} string, " for c in by) + "capacity int, lower_bound bigint")
+    types = dict(pieces.dtypes)
+    return histogram.groupBy(*by).applyInPandas(bound, "".join(f"`{c}` {types[c]}, " for c in by) + "capacity int, lower_bound bigint").select(*by, "lower_bound", "capacity")
+
+
+def _certified(placement: DataFrame, by: list[str]) -> DataFrame:
+    bins = placement.groupBy(*by, "bin").agg(F.sum("size").alias("used")).groupBy(*by).agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("used"))
     space = F.col("bins") * F.col("capacity")
-    return bounds.join(bins, by).select(*by, "capacity", "bins", "lower_bound", (space - F.col("used")).alias("unused_tokens"), F.round((space - F.col("used")) / space, 6).alias("unused_share"))
+    return _bounds(placement, by).join(bins, by).select(*by, "capacity", "bins", "lower_bound", (space - F.col("used")).alias("unused_tokens"), F.round((space - F.col("used")) / space, 6).alias("unused_share"))
 
 
 def sized_by_words(documents: DataFrame) -> DataFrame:
@@ -197,18 +217,20 @@ def sized_by_words(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"))
 
 
-def sized_by_bpe(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(id, size): tokens of a byte-level BPE, read from a file of base64 tokens and ranks that every executor can read."""
+def sized_by_bpe(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(id, size): tokens of a byte-level BPE of the given splitting pattern, out of a file of base64 tokens and ranks that goes out with the job."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def sizes(batches):
         import base64
 
-        import public_tokenizers
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "size": [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"]]})
 

@@ -14,69 +14,89 @@ is kept and marks a record of its own; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize
 
 WINDOW = 4
-#: A term of more than this share of all records counts as hot. There are at
-#: most (mean terms a record) / HOT_SHARE such terms, whatever the data's size.
-HOT_SHARE = 0.005
-
-
-def term_graph(fields: list[list[str]], window: int) -> list[tuple[str, int, int]]:
-    """(term, frequency, distinct neighbours) of one record, in order of first occurrence."""
-    counts: Counter[str] = Counter()
-    near: dict[str, set[str]] = {}
-    for terms in fields:
-        counts.update(terms)
-        for i, a in enumerate(terms):
-            mine = near.setdefault(a, set())
-            for b in terms[i + 1 : i + window]:
-                if a != b:
-                    mine.add(b)
-                    near.setdefault(b, set()).add(a)
-    return [(t, n, len(near[t])) for t, n in counts.items()]
+#: Bytes of text whose graphs are built at once.
+CHUNK = 4_000_000
+
+
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, record of each): the non-empty pieces between spaces of all texts, one after another."""
+    pieces = pc.split_pattern(pc.fill_null(column, "").cast(pa.string()), " ")
+    words, owner = pc.list_flatten(pieces), pc.list_parent_indices(pieces)
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), owner.filter(some).to_numpy().astype(np.int64)
+
+
+def term_graphs(fields: list[pa.Array], window: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(record, term, frequency, distinct neighbours) of every term of every record, the graphs of all records at once.
+
+    Each array of fields holds one text a record. Edges join terms at most
+    window - 1 places apart in the same field.
+    """
+    split = [_words(f) for f in fields]
+    words = pa.concat_arrays([w for w, _ in split])
+    owner = np.concatenate([o for _, o in split])
+    spot = np.concatenate([o * len(fields) + k for k, (_, o) in enumerate(split)])  # record and field
+    coded = words.dictionary_encode()
+    codes, terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    nodes, node = np.unique(owner * max(1, len(terms)) + codes, return_inverse=True)
+    edges = []
+    for step in range(1, window):
+        a, b = node[:-step], node[step:]
+        near = (spot[:-step] == spot[step:]) & (a != b)
+        a, b = a[near], b[near]
+        edges.append(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
+    both = np.unique(np.concatenate(edges)) if edges else np.zeros(0, dtype=np.int64)
+    degree = np.bincount(both // max(1, len(nodes)), minlength=len(nodes)) + np.bincount(both % max(1, len(nodes)), minlength=len(nodes))
+    return nodes // max(1, len(terms)), terms.take(pa.array(nodes % max(1, len(terms)))), np.bincount(node, minlength=len(nodes)), degree
 
 
 def record_terms(ads: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(link, terms): the distinct records with their terms, frequencies and degrees."""
+    """(link, terms, tfs, degrees): the distinct records with their terms, frequencies and degrees."""
+    names = ["link", "terms", "tfs", "degrees"]
 
     def graphs(batches):
         for batch in batches:
-            cells = [
-                [dict(zip(("term", "tf", "degree"), t)) for t in term_graph([[w for w in (text or "").split(" ") if w] for text in texts], window)]
-                for texts in zip(batch["titles"], batch["descriptions"])
-            ]
-            yield pd.DataFrame({"link": batch["links"], "terms": cells})
+            sizes = pc.add(*(pc.coalesce(pc.binary_length(batch.column(c)), pa.scalar(0, pa.int32())) for c in ("titles", "descriptions"))).to_numpy(zero_copy_only=False)
+            ends = [*np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // CHUNK)).tolist(), len(sizes) - 1] if len(sizes) else []
+            start = 0
+            for end in ends:
+                part = batch.slice(start, end + 1 - start)
+                start = end + 1
+                record, terms, tf, degree = term_graphs([part.column(c) for c in ("titles", "descriptions")], window)
+                offsets = pa.array(np.searchsorted(record, np.arange(len(part) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms.cast(pa.string()), pa.array(tf, pa.int32()), pa.array(degree, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("links"), *lists], names=names)
 
     once = ads.select("links", "titles", "descriptions").distinct()
-    return once.mapInPandas(graphs, "link string, terms array<struct<term string, tf int, degree int>>")
+    return once.mapInArrow(graphs, "link string, terms array<string>, tfs array<int>, degrees array<int>")
 
 
 def term_weights(ads: DataFrame, window: int = WINDOW, local: str = "degree", min_df: int = 1) -> tuple[DataFrame, DataFrame]:
     """(postings, records): postings (record, term, tf, degree, df, weight) and records (record, link).
 
     Terms of fewer than min_df records have no postings. Postings meet the
-    document frequencies in a hash join on the term; those of hot terms, a
-    list of bounded length, are broadcast and leave the hot rows in place.
+    document frequencies in a join that leaves those of frequent terms in
+    place.
     """
     records = materialize(record_terms(ads, window).filter("size(terms) > 0").withColumn("record", F.monotonically_increasing_id()), "term-records")
     n = records.count()
-    postings = records.select("record", F.explode("terms").alias("t")).select("record", "t.*")
-    df = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
-    limit = max(1.0, HOT_SHARE * n)
-    hot, cold = df.filter(F.col("df") > limit), df.filter((F.col("df") <= limit) & (F.col("df") >= min_df))
-    marked = postings.join(F.broadcast(hot), "term", "left")
-    frequent = marked.filter(F.col("df").isNotNull() & (F.col("df") >= min_df))
-    rest = marked.filter("df IS NULL").drop("df").join(cold, "term")
+    df = materialize(records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df), "term-df")
+    postings = records.select("record", F.explode(F.arrays_zip("terms", "tfs", "degrees")).alias("t"))
+    postings = postings.select("record", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"), F.col("t.degrees").alias("degree"))
+    total = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     count = F.greatest(F.col("degree"), F.lit(1)) if local == "degree" else F.col("tf")
     weight = F.round((1 + F.log10(count.cast("double"))) * (1 + F.log10(F.lit(float(n)) / F.col("df"))), 6)
-    return frequent.unionByName(rest).withColumn("weight", weight), records.select("record", "link")
+    return with_sizes(postings, df, ["term"], "df", total).withColumn("weight", weight), records.select("record", "link")
 
 
 def top_terms(postings: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 import math
+from collections import Counter
+from functools import partial
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lodeworks.llm import weights
+from lodeworks.operators.skew import with_sizes
 
 SCHEMA = "links string, titles string, descriptions string, term string, record int"
 
@@ -14,14 +20,31 @@ def ads(spark, rows):
 ROWS = [("a", "casa bella", "casa  mare casa "), ("a", "casa bella", "casa  mare casa "), ("b", None, "casa monte"), ("c", "", None), ("d", "solo", ""), (None, "casa", "mare")]
 
 
-def test_graph():
-    assert weights.term_graph([["a", "b", "a", "c", "d"], ["a", "e"]], 3) == [("a", 3, 4), ("b", 1, 2), ("c", 1, 3), ("d", 1, 2), ("e", 1, 1)]
-    assert weights.term_graph([["a", "a"], []], 4) == [("a", 2, 0)]
+def graph(texts, window):
+    """Brute force: {term: (frequency, distinct neighbours)} of one record."""
+    tf, near = Counter(), {}
+    for text in texts:
+        words = [w for w in (text or "").split(" ") if w]
+        tf.update(words)
+        for i, a in enumerate(words):
+            near.setdefault(a, set()).update(b for b in words[max(0, i - window + 1) : i + window] if b != a)
+    return {t: (n, len(near[t])) for t, n in tf.items()}
 
 
-@pytest.mark.parametrize("hot", [0.005, 0.6, 2.0])
-def test_weights(spark, monkeypatch, hot):
-    monkeypatch.setattr(weights, "HOT_SHARE", hot)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text("ab  \u0301c", max_size=20)), st.one_of(st.none(), st.text("abc  ", max_size=20))), max_size=8), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_graphs_equal_brute_force(rows, window):
+    record, term, tf, degree = weights.term_graphs([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], window)
+    got = [{} for _ in rows]
+    for r, t, n, d in zip(record.tolist(), term.to_pylist(), tf.tolist(), degree.tolist()):
+        got[r][t] = (n, d)
+    assert got == [graph(r, window) for r in rows]
+
+
+@pytest.mark.parametrize("hot,chunk", [(1000, 4_000_000), (1, 1), (3, 10)])
+def test_weights(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr(weights, "with_sizes", partial(with_sizes, hot_keys=hot))
+    monkeypatch.setattr(weights, "CHUNK", chunk)
     postings, records = weights.term_weights(ads(spark, ROWS), local="tf")
     got = {(r["link"], r["term"]): (r["tf"], r["df"], r["weight"]) for r in postings.join(records, "record").collect()}
     idf = lambda df: 1 + math.log10(4 / df)

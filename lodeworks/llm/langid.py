@@ -1,7 +1,7 @@
 """Languages of documents and of their segments by nearest clustered centroids.
 
 A line's vector holds the words and the 2- to 4-character n-grams of its
-words, hashed to DIMS places, weighted (1 + log tf) * idf and normalised. Each
+words, hashed to DIMS places, weighted tf * idf and normalised. Each
 language has several centroids, clustered by spherical k-means over the lines
 of labelled songs. A line takes the language of the centroid with the greatest
 cosine; one below that language's rejection threshold has none. Lines vote
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import trimmed
+from lodeworks.functions.text import longer_than, trimmed
 
 DIMS = 1 << 15
 SONGS_PER_LANGUAGE, CLUSTERS, PASSES = 300, 4, 8
@@ -43,7 +43,7 @@ WORD_WEIGHT = 3
 #: A line of less confidence follows the sure lines around it: those of its stanza, else those of its song.
 UNSURE = 0.15
 
-#: Spellings of the languages, without region.
+#: Spellings of the languages, without region; a collection of others passes its own.
 SPELLINGS = {
     "en": "en eng english inglese inglés anglais englisch",
     "it": "it ita italian italiano italien italienisch",
@@ -62,10 +62,10 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _CACHE = 200_000
 
 
-def language_code(column: Column) -> Column:
-    """Two-letter code of a language's spelling, regions dropped; null for anything unknown."""
+def language_code(column: Column, spellings: dict[str, str] = SPELLINGS) -> Column:
+    """Code of a language's spelling, regions dropped; null for anything unknown."""
     name = F.regexp_replace(F.lower(trimmed(column)), r"[-_].*$", "")
-    pairs = [F.lit(x) for code, names in SPELLINGS.items() for spelling in names.split() for x in (spelling, code)]
+    pairs = [F.lit(x) for code, names in spellings.items() for spelling in names.split() for x in (spelling, code)]
     return F.try_element_at(F.create_map(*pairs), name)
 
 
@@ -94,7 +94,12 @@ def spoken(words: list[str]) -> int:
 
 @dataclass
 class Model:
-    """Centroids as a (DIMS, languages * clusters) matrix, their languages, idf and rejection thresholds."""
+    """Centroids as a (DIMS, languages * clusters) matrix, their languages, idf and rejection thresholds.
+
+    A line's vector is the sum of its words' vectors, so its products with the
+    centroids are sums of one short row a word, computed once for each
+    distinct word.
+    """
 
     languages: list[str]
     owner: np.ndarray
@@ -102,36 +107,70 @@ class Model:
     idf: np.ndarray
     reject: np.ndarray
     _words: dict = field(default_factory=dict, repr=False)
+    _ids: list = field(default_factory=list, repr=False)
+    _rows: np.ndarray | None = field(default=None, repr=False)
     _lines: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_words": {}, "_lines": {}}
-
-    def classify(self, lines: list[str]) -> list[tuple[int, float]]:
-        """(language number or -1, confidence) of each line; the confidence is the lead over the next language, as a part of the best cosine."""
-        new = list({x for x in lines if x not in self._lines})
-        known = {x: self._lines[x] for x in lines if x in self._lines}
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            row, ids, values, _ = vectors(part, self.idf, self._words)
-            best = np.full((len(part), len(self.languages)), 0.0)
-            starts = np.searchsorted(row, np.arange(len(part)))
-            filled = np.flatnonzero(np.bincount(row, minlength=len(part)))
-            if len(filled):
-                cosines = np.add.reduceat(self.centroids[ids] * values[:, None], starts[filled], axis=0)
-                for k in range(len(self.languages)):
-                    best[filled, k] = cosines[:, self.owner == k].max(axis=1)
-            order = np.sort(best, axis=1)
-            top = best.argmax(axis=1)
-            lead = order[:, -1] - order[:, -2] if best.shape[1] > 1 else order[:, -1]
-            sure = np.where(order[:, -1] > 0, lead / np.maximum(order[:, -1], 1e-9), 0.0)
-            top = np.where(order[:, -1] < self.reject[top], -1, top)
-            known |= {x: (int(t), float(c)) for x, t, c in zip(part, top, sure)}
-        out = [known[x] for x in lines]
+        return self.__dict__ | {"_words": {}, "_ids": [], "_rows": None, "_lines": {}}
+
+    def judge(self, lines: list[str]) -> list[tuple[int, float, int]]:
+        """(language number or -1, confidence, spoken words) of each line; the confidence is the lead over the next language, as a part of the best cosine."""
         if len(self._lines) > _CACHE:
             self._lines.clear()
-        self._lines |= {x: known[x] for x in new}
-        return out
+        known = self._lines
+        new = [x for x in dict.fromkeys(lines) if x not in known]
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            words = [words_of(x) for x in part]
+            top, sure = self.nearest(words)
+            known.update(zip(part, zip(top.tolist(), sure.tolist(), map(spoken, words))))
+        return [known[x] for x in lines]
+
+    def nearest(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(language numbers or -1, confidences) of lists of words."""
+        filled = np.array([k for k, words in enumerate(lines) if words], dtype=np.int64)
+        top, sure = np.full(len(lines), -1), np.zeros(len(lines))
+        if not len(filled):
+            return top, sure
+        rows = self._known({w for words in lines for w in words})
+        numbers, place = self._words, np.cumsum([0, *(len(lines[k]) for k in filled)])[:-1]
+        each = rows[[numbers[w] for k in filled for w in lines[k]]]
+        sums = np.add.reduceat(each, place, axis=0)
+        squares = np.add.reduceat(each[:, -1] ** 2, place)
+        best = np.stack([sums[:, :-1][:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
+        order = np.sort(best, axis=1)
+        first = best.argmax(axis=1)
+        lead = order[:, -1] - order[:, -2] if best.shape[1] > 1 else order[:, -1]
+        sure[filled] = np.where(order[:, -1] > 0, lead / np.maximum(order[:, -1], 1e-9), 0.0)
+        # the norm of a line lies between the root of its words' squares and the sum of their norms; where that does not settle the rejection it is computed
+        bar = self.reject[first]
+        near = order[:, -1] >= bar * sums[:, -1]
+        open_ones = np.flatnonzero(~near & (order[:, -1] >= bar * np.sqrt(squares)))
+        if len(open_ones):
+            ids = [self._ids[numbers[w]] for k in open_ones for w in lines[filled[k]]]
+            width = np.add.reduceat([len(x) for x in ids], np.cumsum([0, *(len(lines[filled[k]]) for k in open_ones)])[:-1])
+            cells, counts = np.unique(np.repeat(np.arange(len(open_ones), dtype=np.int64) * DIMS, width) + np.concatenate(ids), return_counts=True)
+            norms = np.sqrt(np.bincount(cells // DIMS, (counts * self.idf[cells % DIMS]) ** 2))
+            near[open_ones] = order[open_ones, -1] >= bar[open_ones] * norms
+        top[filled] = np.where(near & (order[:, -1] > 0), first, -1)
+        return top, sure
+
+    def _known(self, words: set[str]) -> np.ndarray:
+        """Rows of products with each centroid and the norm, of at least the given words; _words has their numbers."""
+        if self._rows is None or len(self._words) > _CACHE:
+            self._words, self._ids, self._rows = {}, [], np.zeros((0, len(self.owner) + 1), dtype=np.float32)
+        new = [w for w in words if w not in self._words]
+        if new:
+            ids = [_word_ids(w) for w in new]
+            place, flat = np.cumsum([0, *map(len, ids)])[:-1], np.concatenate(ids)
+            weight = self.idf[flat]
+            products = np.add.reduceat(self.centroids[flat] * weight[:, None].astype(np.float32), place, axis=0)
+            norms = np.sqrt(np.add.reduceat(weight**2, place))
+            self._ids += ids
+            self._words.update((w, len(self._rows) + k) for k, w in enumerate(new))
+            self._rows = np.concatenate([self._rows, np.column_stack([products, norms]).astype(np.float32)])
+        return self._rows
 
 
 def _word_ids(word: str) -> np.ndarray:
@@ -158,7 +197,7 @@ def vectors(lines: list[str], idf: np.ndarray | None, cache: dict) -> tuple[np.n
     row, ids = cells // DIMS, cells % DIMS
     if idf is None:
         return row, ids, counts.astype(float), len(lines)
-    values = (1 + np.log(counts)) * idf[ids]
+    values = counts * idf[ids]
     norm = np.sqrt(np.bincount(row, values**2, minlength=len(lines)))
     return row, ids, values / np.maximum(norm[row], 1e-12), len(lines)
 
@@ -188,7 +227,7 @@ def train(texts: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model | Non
     label = np.array([languages.index(max(sorted(votes[x]), key=votes[x].get)) for x in lines])
     row, ids, counts, n = vectors(lines, None, {})
     idf = np.log((1 + n) / (1 + np.bincount(ids, minlength=DIMS))) + 1
-    values = (1 + np.log(counts)) * idf[ids]
+    values = counts * idf[ids]
     values /= np.sqrt(np.bincount(row, values**2, minlength=n))[row]
     for _ in range(3):  # lines in another language than their song's label move to it
         label = _cosines(row, ids, values, n, _centroids(row, ids, values, label, len(languages))).argmax(axis=1)
@@ -209,17 +248,17 @@ def train(texts: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model | Non
     return Model(languages, np.array(owner), np.concatenate(centroids, axis=1).astype(np.float32), idf, reject)
 
 
-def songs_once(songs: DataFrame, labels: DataFrame) -> DataFrame:
+def songs_once(songs: DataFrame, labels: DataFrame, spellings: dict[str, str] = SPELLINGS) -> DataFrame:
     """(idx, lyrics, label): one row for each idx with lyrics; label is a language code or null."""
-    usable = songs.filter(F.col("idx").isNotNull() & (F.length(trimmed(F.col("lyrics"))) > MIN_CHARS))
-    codes = labels.select("idx", language_code(F.col("lang")).alias("label")).groupBy("idx").agg(F.min("label").alias("label"))
+    usable = songs.filter(F.col("idx").isNotNull() & longer_than(F.col("lyrics"), MIN_CHARS))
+    codes = labels.select("idx", language_code(F.col("lang"), spellings).alias("label")).groupBy("idx").agg(F.min("label").alias("label"))
     return usable.groupBy("idx").agg(F.min("lyrics").alias("lyrics")).join(codes, "idx", "left")
 
 
-def fit(songs: DataFrame, labels: DataFrame, songs_per_language: int = SONGS_PER_LANGUAGE, clusters: int = CLUSTERS) -> Model | None:
-    """The model from at most songs_per_language labelled songs of each of the languages in SPELLINGS."""
+def fit(songs: DataFrame, labels: DataFrame, songs_per_language: int = SONGS_PER_LANGUAGE, clusters: int = CLUSTERS, spellings: dict[str, str] = SPELLINGS) -> Model | None:
+    """The model from at most songs_per_language labelled songs of each language that the labels name; spellings says how they may be written."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("idx"), "idx")
-    labelled = labels.select("idx", language_code(F.col("lang")).alias("label")).filter("idx IS NOT NULL AND label IS NOT NULL").distinct()
+    labelled = labels.select("idx", language_code(F.col("lang"), spellings).alias("label")).filter("idx IS NOT NULL AND label IS NOT NULL").distinct()
     chosen = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= songs_per_language)
     sample = songs.select("idx", "lyrics").join(F.broadcast(chosen), "idx").select("label", "lyrics").distinct()
     return train(sorted((r["label"], r["lyrics"] or "") for r in sample.collect()), clusters)
@@ -251,10 +290,10 @@ def settle(verdicts: list[tuple[int, float]], counts: list[int], at: int, blocks
 STANZAS = "idx bigint, stanza bigint, lang string, confidence double, words bigint, label string, song_lang string, song_confidence double, languages int"
 
 
-def stanza_languages(songs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+def stanza_languages(songs: DataFrame, labels: DataFrame, model: Model | None = None, spellings: dict[str, str] = SPELLINGS) -> DataFrame:
     """One row per stanza with its language, its confidence and its song's label, language, confidence and number of languages."""
     spark = songs.sparkSession
-    model = model or fit(songs, labels)
+    model = model or fit(songs, labels, spellings=spellings)
     if model is None:
         return spark.createDataFrame([], STANZAS)
     shared = spark.sparkContext.broadcast(model)
@@ -278,9 +317,8 @@ def stanza_languages(songs: DataFrame, labels: DataFrame, model: Model | None =
                 blocks = stanzas_of(text)
                 spans.append([len(b) for b in blocks])
                 lines += [x for b in blocks for x in b]
-            folded = [x.lower() for x in lines]
-            counts = [spoken(words_of(x)) for x in folded]
-            verdicts = shared.value.classify(folded)
+            judged = shared.value.judge([x.lower() for x in lines])
+            verdicts, counts = [(k, c) for k, c, _ in judged], [n for _, _, n in judged]
             rows, at = [], 0
             for idx, label, blocks in zip(batch["idx"], batch["label"], spans):
                 mine, ballots = [], []
@@ -296,7 +334,7 @@ def stanza_languages(songs: DataFrame, labels: DataFrame, model: Model | None =
                 rows += [(idx, number, lang, confidence, words, label, own, sure, kinds) for number, lang, confidence, words in mine]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STANZAS.split(", ")])
 
-    return songs_once(songs, labels).mapInPandas(segments, STANZAS)
+    return songs_once(songs, labels, spellings).mapInPandas(segments, STANZAS)
 
 
 def relabelled(stanzas: DataFrame) -> DataFrame:

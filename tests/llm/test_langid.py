@@ -58,14 +58,36 @@ def test_held_out_accuracy():
     rng = np.random.default_rng(2)
     model = langid.train([(c, song(rng, c, 8)) for c in WORDS for _ in range(30)])
     lines = [(c, x) for c in WORDS for x in song(rng, c, 200).split("\n")]
-    right = sum(model.languages[k] == c for (c, _), (k, _) in zip(lines, model.classify([x for _, x in lines])))
+    right = sum(model.languages[k] == c for (c, _), (k, _) in zip(lines, zip(*model.nearest([langid.words_of(x) for _, x in lines]))))
     assert right >= 0.98 * len(lines)
 
 
 def test_rejects_what_is_far_from_all():
     rng = np.random.default_rng(3)
     model = langid.train([(c, song(rng, c, 8)) for c in WORDS for _ in range(30)])
-    assert [k for k, _ in model.classify(["ξζψ ωφχ ζζξψ", "1234"])] == [-1, -1]
+    assert [k for k, _, _ in model.judge(["ξζψ ωφχ ζζξψ", "1234", ""])] == [-1, -1, -1]
+
+
+def test_word_rows_equal_the_cosines(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = langid.train([(c, song(rng, c, 8)) for c in WORDS for _ in range(30)])
+    lines = [" ".join([*rng.choice(WORDS[c], 3), *rng.choice(WORDS["en"], 2), "ζξψ"][: rng.integers(1, 6)]) for c in WORDS for _ in range(60)]
+    row, ids, values, n = langid.vectors(lines, model.idf, {})
+    cosines = langid._cosines(row, ids, values, n, model.centroids)
+    best = np.stack([cosines[:, model.owner == k].max(axis=1) for k in range(len(model.languages))], axis=1)
+    for part in (0.0, 0.5, 1.0, 2.0):  # rejection too, where the bounds of the norm settle it and where they do not
+        monkeypatch.setattr(model, "reject", np.full(len(model.languages), part * np.median(best.max(axis=1))))
+        top, _ = model.nearest([langid.words_of(x) for x in lines])
+        want = np.where(best.max(axis=1) >= model.reject[0], best.argmax(axis=1), -1)
+        assert (top == want).mean() > 0.98
+
+
+def test_other_languages_come_from_the_labels(spark):
+    rng = np.random.default_rng(6)
+    songs = [(i, song(rng, ("en", "ru")[i % 2])) for i in range(60)]
+    labels = [(i, ("EN", "xx-YY")[i % 2]) for i in range(60)]
+    rows = langid.stanza_languages(*tables(spark, songs, labels), spellings={"en": "en", "xx": "xx"}).collect()
+    assert {(r["idx"] % 2, r["lang"]) for r in rows} == {(0, "en"), (1, "xx")}
 
 
 def test_unsure_lines_follow_their_stanza():

@@ -15,13 +15,17 @@ def play_counts(log: DataFrame, least: int = 20, user: str = "userid", track: st
 
 
 def baskets(counts: DataFrame) -> DataFrame:
-    """(user, tracks): each user's tracks in order, joined by spaces. A basket is one row, as its form demands."""
+    """(user, tracks): each user's different tracks in order, joined by spaces.
+
+    A basket is one row, as its form demands: a task holds all tracks of a
+    user at once. postings() has the same content in long form.
+    """
     return counts.groupBy("user").agg(F.array_join(F.array_sort(F.collect_list("track")), " ").alias("tracks"))
 
 
-def postings(basket_rows: DataFrame) -> DataFrame:
-    """(track, user) in long form, out of the baskets' lists; empty pieces are dropped."""
-    return basket_rows.select(F.explode(F.split("tracks", " ")).alias("track"), "user").filter("track <> ''")
+def postings(counts: DataFrame) -> DataFrame:
+    """(track, user) in long form: one row for each user of a track, in place."""
+    return counts.select("track", "user")
 
 
 def track_users(counts: DataFrame) -> DataFrame:

@@ -51,8 +51,19 @@ def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
 
 
 def means(assigned: DataFrame) -> DataFrame:
-    """(cluster, dim, mean): partial sums before the shuffle, so a cluster may hold any number of points."""
-    return assigned.select("cluster", F.posexplode("vector").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """(cluster, dim, mean): summed per batch before the shuffle, so a cluster may hold any number of points."""
+
+    def sums(batches):
+        for batch in batches:
+            if len(batch):
+                x, near = np.stack(batch["vector"].to_numpy()).astype(np.float64), batch["cluster"].to_numpy()
+                found, at = np.unique(near, return_inverse=True)
+                total = np.zeros((len(found), x.shape[1] + 1))
+                np.add.at(total, at, np.column_stack([x, np.ones(len(x))]))
+                yield pd.DataFrame({"cluster": found, "row": list(total[:, :-1]), "n": total[:, -1]})
+
+    parts = assigned.select("cluster", "vector").mapInPandas(sums, "cluster int, row array<double>, n double")
+    return parts.select("cluster", "n", F.posexplode("row").alias("dim", "x")).groupBy("cluster", "dim").agg((F.sum("x") / F.sum("n")).alias("mean"))
 
 
 def _pass(points: DataFrame, centers: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, int]:

@@ -6,17 +6,24 @@ smallest key), and class_members() names the rest, so copies never multiply.
 
 from __future__ import annotations
 
-import math
+from hashlib import sha1
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.hashing import char_shingles, distinct, in_chunks
 from lodeworks.operators.pairs import pairs_within
+from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize, partitions_for
 
 SHINGLE, HASHES, LEAST_EQUAL = 10, 10, 8
 #: Groups of hashes of which one at least is equal throughout if no more than HASHES - LEAST_EQUAL hashes differ.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))
+#: Counters of the sketch of how often shingles occur, in blocks that are summed apart; 4 MB in all.
+COUNTERS, COUNTER_BLOCKS = 1 << 20, 64
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -26,10 +33,11 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
 
 
 def class_members(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rep): the smallest key among those of the same text. Null keys and texts are left out."""
-    keyed = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.sha2(text, 256).alias("h"))
-    first = keyed.groupBy("h").agg(F.min("key").alias("rep"))
-    return keyed.join(first, "h").select("key", "rep").distinct()
+    """(key, rep, copies): the smallest key among those of the same text, and their number. Null keys and texts are left out."""
+    keyed = materialize(texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.sha2(text, 256).alias("h")).distinct(), "class-texts")
+    groups = materialize(keyed.groupBy("h").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "class-groups")
+    known = with_sizes(keyed, groups, ["h"], "copies", keyed.count(), "left")
+    return known.select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
 
 
 def distinct_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,15 +45,42 @@ def distinct_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(key).alias("key")).select("key", "text")
 
 
-def _least_hash(salt: str) -> Column:
-    return F.array_min(F.transform("s", lambda x: F.right(F.sha1(F.concat(x, F.lit(salt))), F.lit(10))))
+def _dealt(texts: DataFrame, k: int) -> DataFrame:
+    """(key, text) of the texts that have shingles, spread over the session's tasks."""
+    return texts.filter(F.length("text") >= k).select("key", "text").repartition(partitions_for(texts.sparkSession, 0, 1), "key")
+
+
+def _tails(shingle: str) -> bytes:
+    """The last five bytes of the HASHES salted hashes of a shingle's hash."""
+    base = sha1(shingle.encode()).hexdigest().encode()
+    return b"".join([sha1(base + salt).digest()[15:] for salt in _SALTS])
+
+
+_SALTS = [f"{i:020d}".encode() for i in range(HASHES)]
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(key, signature) of (key, text): for i in 0..9 the least last-ten-hex of sha1(sha1(shingle) + i as twenty digits)."""
-    spread = texts.filter(F.length("text") >= SHINGLE).repartition(partitions_for(texts.sparkSession, 0, 1), "key")
-    hexed = spread.select("key", F.transform(shingles(F.col("text")), F.sha1).alias("s"))
-    return hexed.select("key", F.array(*(_least_hash(f"{i:020d}") for i in range(HASHES))).alias("signature"))
+    """(key, signature) of (key, text): for i in 0..9 the least last-ten-hex of sha1(sha1(shingle) + i as twenty digits).
+
+    Texts go through in chunks; a shingle that many texts of a chunk share is
+    hashed once.
+    """
+
+    def sign(batches):
+        for batch in batches:
+            keys, all_texts = batch["key"].tolist(), batch["text"].tolist()
+            for start, end in in_chunks(all_texts, 500_000):
+                numbers: dict[str, int] = {}
+                places = []
+                for text in all_texts[start:end]:
+                    cut = {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
+                    places.append([numbers.setdefault(s, len(numbers)) for s in cut])
+                raw = np.frombuffer(b"".join(map(_tails, numbers)), dtype=np.uint8).reshape(-1, HASHES, 5).astype(np.uint64)
+                values = (raw << np.arange(32, -1, -8, dtype=np.uint64)).sum(axis=2)
+                least = np.minimum.reduceat(values[np.concatenate(places)], np.cumsum([0, *map(len, places)])[:-1], axis=0)
+                yield pd.DataFrame({"key": keys[start:end], "signature": [[f"{v:010x}" for v in row] for row in least.tolist()]})
+
+    return _dealt(texts, SHINGLE).mapInPandas(sign, "key string, signature array<string>")
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -69,9 +104,57 @@ def lsh_pairs(signed: DataFrame, least: int = LEAST_EQUAL) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("equal") / HASHES).alias("score")).distinct()
 
 
-def later_copies(pairs: DataFrame) -> DataFrame:
-    """The duplicates as the replaced system counts them: the larger keys of all pairs."""
-    return pairs.select(F.col("b").alias("key")).distinct()
+def later_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key): the duplicates as the replaced system counts them, the larger keys of all pairs, every copy of a text counted.
+
+    A key is one if its own text or a similar one has a smaller key; pairs are
+    of representatives, members those of class_members() that have shingles.
+    """
+    near = pairs.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("least"))
+    reps = members.filter("key = rep").select("rep", "copies")
+    known = materialize(reps.join(near, "rep", "left").select("rep", "copies", F.coalesce("least", "rep").alias("least")), "later-copies")
+    return with_sizes(members.select("key", "rep"), known, ["rep"], "copies", members.count()).filter("key > least").select("key")
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(key, s): the distinct shingles of each (key, text) as sorted 64-bit hashes."""
+
+    def cut(batches):
+        for batch in batches:
+            keys, all_texts = batch.column("key"), batch.column("text").to_pylist()
+            for start, end in in_chunks(all_texts):
+                hashes, offsets = char_shingles(all_texts[start:end], k)
+                sets = [distinct(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([keys.slice(start, end - start), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "s"])
+
+    return _dealt(texts, k).mapInArrow(cut, "key string, s array<bigint>")
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Counters of how many texts hold a shingle, each for all shingles that fall on it: summed in blocks, of fixed size."""
+    width = COUNTERS // COUNTER_BLOCKS
+
+    def count(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(batch.column("s").flatten().to_numpy()), minlength=COUNTERS)
+        cut = total.reshape(COUNTER_BLOCKS, width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([row.tobytes() for row in cut], pa.binary())], names=["block", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in pdf["counts"]], axis=0)
+        return pd.DataFrame({"block": [pdf["block"].iat[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    rows = sets.select("s").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    out = np.zeros((COUNTER_BLOCKS, width), dtype=np.int32)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["counts"], dtype=np.int32)
+    return out.ravel()
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
 
 
 def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
@@ -79,21 +162,31 @@ def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = SHINGLE) ->
 
     Prefix filtering: with the shingles of each text in order of rarity, two
     similar texts share one of their rarest n - ceil(threshold * n) + 1, so
-    only those are joined, and pairs of too different sizes are left out.
+    only those are joined, and pairs of too different sizes are left out. Any
+    order will do that is the same for all texts; this one goes by a sketch of
+    fixed size, so no shingle is shuffled to be ranked. Shingles are compared
+    by 64-bit hashes.
     """
     spark = texts.sparkSession
-    sets = materialize(texts.filter(F.length("text") >= k).repartition(partitions_for(spark, 0, 1), "key").select("key", F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)).alias("s"), "text"), "jaccard-sets")
-    rows = sets.select("key", F.size("s").alias("n"), F.explode("s").alias("h"))
-    ranked = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "h")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "h"))  # a text's own shingles
-    # shingles of one text only can match nothing; they are the rarest and fill the prefix first
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    prefix = materialize(ranked.withColumn("place", place + alone).filter(F.col("place") <= length).select("key", "n", "h"), "jaccard-prefix")
+    sets = materialize(_shingle_sets(texts, k), "jaccard-sets")
+    rarity = spark.sparkContext.broadcast(_rarity(sets))
+
+    def rarest(batches):
+        for batch in batches:
+            keys, lists = batch.column("key"), batch.column("s")
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            often = rarity.value[_counter(flat)]
+            parts, sizes = [], np.diff(ends)
+            for a, b, n in zip(ends, ends[1:], sizes.tolist()):
+                first = np.lexsort((flat[a:b], often[a:b]))[: n - int(np.ceil(n * threshold - 1e-9)) + 1] + a
+                parts.append(first[often[first] > 1])  # what one text alone holds meets nothing
+            at = np.concatenate([*parts, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(sizes[owner], pa.int32()), pa.array(flat[at], pa.int64())], names=["key", "n", "h"])
+
+    prefix = materialize(sets.mapInArrow(rarest, "key string, n int, h bigint"), "jaccard-prefix")
     near = (F.col("n_x") >= F.col("n_y") * threshold - 1e-9) & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9)
     met = pairs_within(prefix, "h", "key", ["n"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    full = sets.select("key", shingles(F.col("text"), k).alias("x"))
-    both = met.join(full.select(F.col("key").alias("a"), F.col("x").alias("xa")), "a").join(full.select(F.col("key").alias("b"), F.col("x").alias("xb")), "b")
-    shared = F.size(F.array_intersect("xa", "xb"))
-    scored = both.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("xa") + F.size("xb") - F.col("shared")))
+    both = met.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    scored = both.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).withColumn("jaccard", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))
     return scored.filter(F.col("jaccard") >= threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import tokens
 from lodeworks.functions.words import ENGLISH, without
+from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize, partitions_for
 
 #: The classes, and the words cut out of lyrics.
@@ -76,17 +80,23 @@ def vocabulary(rows: DataFrame, reserve_zero: bool = False) -> DataFrame:
 
 
 def encoded(rows: DataFrame, words: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(idx, ids): each song's first `length` words as ids, unknown words and padding 0."""
+    """(idx, ids): each song's first `length` words as ids, unknown words and padding 0. idx should be unique.
+
+    Words are very uneven, so those of frequent ones are looked up in place.
+    """
+    known = materialize(words.select("word", "df", "word_id"), "vocabulary")
+    total = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     head = rows.select("idx", F.posexplode_outer(F.slice("tokens", 1, length)).alias("place", "word"))
-    met = head.join(words.select("word", "word_id"), "word", "left")
+    met = with_sizes(head, known, ["word"], "df", total, "left")
     lists = met.groupBy("idx").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce("word_id", F.lit(0)).alias("id"))))).alias("s"))
     ids = F.transform("s", lambda x: x["id"])
     return lists.select("idx", F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length).alias("ids"))
 
 
 def label_ids(rows: DataFrame, column: str) -> DataFrame:
-    """(label, label_id): labels in order, from 0. The labels are a short list."""
-    return rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct().withColumn("label_id", F.row_number().over(Window.orderBy("label")) - 1)
+    """(label, label_id): labels in order, from 0, however many there are."""
+    labels = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
+    return numbered(labels, [F.col("label")], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def long_items(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -116,6 +126,38 @@ def micro_metrics(cells: DataFrame) -> DataFrame:
     return cells.agg(F.sum("n").alias("n"), F.round(hits / F.sum("n"), 6).alias("accuracy"), F.round(hits / F.sum("n"), 6).alias("micro_f1"))
 
 
+def multi_hot(rows: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """(word_id, word, hot): the rows of the word by class 0/1 matrix in order of the vocabulary."""
+    presence = word_class_presence(rows, classes)
+    hot = F.array(*(F.col(c) for c in presence.columns[1:]))
+    return vocabulary(rows).join(presence.select("word", hot.alias("hot")), "word").select("word_id", "word", "hot")
+
+
+def subword_items(songs: DataFrame, vocabulary_file: str, length: int = LENGTH, start: str = "<|startoftext|>", end: str = "<|endoftext|>") -> DataFrame:
+    """(idx, ids, mask, segments) of (idx, text) songs for a sentence model: ids of start, the text's subwords and end.
+
+    Only songs of more than `length` ids are kept, cut to it, as in the
+    system replaced. The file is a vocabulary in the tokenizers library's
+    form; it goes out with the job. Null texts are empty.
+    """
+    songs.sparkSession.sparkContext.addFile(vocabulary_file)
+    name = Path(vocabulary_file).name
+
+    def encode(batches):
+        from pyspark import SparkFiles
+        from tokenizers import Tokenizer
+
+        pieces = Tokenizer.from_file(SparkFiles.get(name))
+        pieces.encode_special_tokens = True
+        first, last = pieces.token_to_id(start), pieces.token_to_id(end)
+        for batch in batches:
+            ids = [[first, *e.ids, last] for e in pieces.encode_batch([t or "" for t in batch["text"]], add_special_tokens=False)]
+            rows = [(i, x[:length], [1] * length, [0] * length) for i, x in zip(batch["idx"], ids) if len(x) > length]
+            yield pd.DataFrame(rows, columns=["idx", "ids", "mask", "segments"])
+
+    return songs.select("idx", "text").mapInPandas(encode, "idx bigint, ids array<int>, mask array<int>, segments array<int>")
+
+
 def word_vectors(rows: DataFrame, size: int = 100, window: int = 5, seed: int = 1, iterations: int = 1):
     """A skip-gram model over the songs' tokens, of the library's own kind."""
     from pyspark.ml.feature import Word2Vec
@@ -127,9 +169,9 @@ def _labelled(rows: DataFrame, features: int) -> DataFrame:
     """rows with hashed word features, label_id and the part of the split."""
     from pyspark.ml.feature import HashingTF
 
-    labels = label_ids(rows, "genre")  # a row a class
+    labels = label_ids(rows, "genre")
     hashed = HashingTF(numFeatures=features, inputCol="tokens", outputCol="features").transform(rows)
-    return hashed.join(F.broadcast(labels), hashed["genre"] == labels["label"]).withColumn("part", split(F.col("idx")))
+    return hashed.join(labels, hashed["genre"] == labels["label"]).withColumn("part", split(F.col("idx")))
 
 
 def best_classifier(rows: DataFrame, path: str, strengths: tuple[float, ...] = (0.2, 0.05, 0.01), features: int = 1 << 12, patience: int = 2):
@@ -156,12 +198,17 @@ def best_classifier(rows: DataFrame, path: str, strengths: tuple[float, ...] = (
     return LogisticRegressionModel.load(path)
 
 
+def predicted(model, rows: DataFrame) -> DataFrame:
+    """(idx, label, predicted) of the test split by a logistic regression over hashed words."""
+    parts = _labelled(rows, model.numFeatures)
+    guessed = model.transform(parts.filter("part = 'test'")).select("idx", F.col("genre").alias("label"), F.col("prediction").cast("int").alias("label_id"))
+    labels = label_ids(rows, "genre")
+    return guessed.join(labels.select(F.col("label").alias("predicted"), "label_id"), "label_id").select("idx", "label", "predicted")
+
+
 def baseline_classifier(rows: DataFrame, features: int = 1 << 12) -> DataFrame:
     """(idx, label, predicted) of the test split by logistic regression over hashed words; stands in for the neural networks."""
     from pyspark.ml.classification import LogisticRegression
 
     parts = _labelled(rows, features)
-    model = LogisticRegression(maxIter=20, regParam=0.05, labelCol="label_id").fit(parts.filter("part = 'train'"))
-    guessed = model.transform(parts.filter("part = 'test'")).select("idx", F.col("genre").alias("label"), F.col("prediction").cast("int").alias("label_id"))
-    labels = label_ids(rows, "genre")
-    return guessed.join(F.broadcast(labels.select(F.col("label").alias("predicted"), "label_id")), "label_id").select("idx", "label", "predicted")
+    return predicted(LogisticRegression(maxIter=20, regParam=0.05, labelCol="label_id").fit(parts.filter("part = 'train'")), rows)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import tokens
 from lodeworks.functions.words import ENGLISH, ITALIAN, stemmed
 from lodeworks.operators import ads, baskets, cluster, search, shingles, songs
-from lodeworks.session import materialize
-from lodeworks.sources.tables import LOG, extract_ads, table
+from lodeworks.session import keep, materialize, shared_dir, stored
+from lodeworks.sources.tables import ADS, LISTENING_LOG, LOG, NULL, SONGS, extract_ads, read_csv, read_tsv, table, with_file_order, write_csv, write_tsv
 
 #: Plays that make a track part of a user's basket.
 LEAST_PLAYS = 3
@@ -29,7 +32,7 @@ def basket_lists(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
-    return baskets.postings(basket_lists(spark, sf_dir))
+    return baskets.postings(_plays(spark, sf_dir))
 
 
 def track_users(spark, sf_dir):
@@ -53,6 +56,12 @@ def dedup_first(spark, sf_dir):
     return ads.first_by_key(rows, "links", ["timestamps", "prices", "titles", "locations", "descriptions"])
 
 
+def dedup_file_order(spark, sf_dir):
+    """The first row of each link as the file has them."""
+    rows = with_file_order(table(spark, sf_dir, SCRAPED)).filter("links <> 'links'")
+    return ads.first_by_key(rows, "links", ["__file", "__row"]).drop("__file", "__row")
+
+
 def distinct_links(spark, sf_dir):
     return table(spark, sf_dir, SCRAPED).filter("links <> 'links'").agg(F.count_distinct("links").alias("n"))
 
@@ -92,12 +101,31 @@ def tfidf_index(spark, sf_dir):
     return search.index(search.term_counts(rows, "links", ["descriptions", "titles"], []), rows.select("links").distinct().count())
 
 
+def _stored_index(spark, sf_dir) -> tuple[str, int]:
+    """(path, number of documents) of the prepared ads' index, written once a session."""
+
+    def build(path):
+        rows = materialize(_prepared(spark, sf_dir), "prepared")
+        length = F.coalesce(F.length("titles"), F.lit(0)) + F.coalesce(F.length("descriptions"), F.lit(0))
+        lengths = rows.groupBy(F.col("links").alias("doc")).agg(F.max(length).alias("length"))
+        n = rows.select("links").distinct().count()
+        search.store_index(search.index(search.term_counts(rows, "links", ["descriptions", "titles"], []), n), lengths, f"{path}/postings")
+        spark.createDataFrame([(n,)], "n bigint").write.parquet(f"{path}/size")
+
+    path = stored(spark, f"index of {sf_dir}", build)
+    return f"{path}/postings", spark.read.parquet(f"{path}/size").first()["n"]
+
+
+def index_stored(spark, sf_dir):
+    """The whole index as it is read back from where it is stored."""
+    return search.stored_postings(spark, _stored_index(spark, sf_dir)[0])
+
+
 def search_top22(spark, sf_dir):
-    rows = materialize(_prepared(spark, sf_dir), "prepared")
-    length = F.coalesce(F.length("titles"), F.lit(0)) + F.coalesce(F.length("descriptions"), F.lit(0))
-    lengths = rows.groupBy(F.col("links").alias("doc")).agg(F.max(length).alias("length"))
-    n = rows.select("links").distinct().count()
-    return search.search(search.term_counts(rows, "links", ["descriptions", "titles"], []), lengths, n, search.query_tokens(QUERY))
+    """Ranked search in the stored index: only the postings of the query's terms are read."""
+    query = search.query_tokens(QUERY)
+    path, n = _stored_index(spark, sf_dir)
+    return search.search(search.stored_postings(spark, path, query), n, query)
 
 
 def stemmed_tokens(spark, sf_dir):
@@ -119,16 +147,26 @@ def _signed(spark, sf_dir):
 
 
 def class_members(spark, sf_dir):
+    return _members(spark, sf_dir).select("key", "rep")
+
+
+def _members(spark, sf_dir):
     return shingles.class_members(table(spark, sf_dir, CLEARED), "links", "descriptions")
 
 
+def _shingled_members(spark, sf_dir):
+    return materialize(shingles.class_members(table(spark, sf_dir, CLEARED).filter(F.length("descriptions") >= shingles.SHINGLE), "links", "descriptions"), "members")
+
+
 def minhash_signature(spark, sf_dir):
-    return shingles.signatures(_distinct_ads(spark, sf_dir)).select("key", F.array_join("signature", "").alias("signature"))
+    return _signed(spark, sf_dir).select("key", F.array_join("signature", "").alias("signature"))
 
 
 def lsh_bands(spark, sf_dir):
-    buckets = shingles.bands(_signed(spark, sf_dir)).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("texts"))
-    return buckets.select(F.col("band").cast("bigint").alias("band"), "bucket", "texts")
+    """The ads of each bucket of each band, every copy counted."""
+    copies = _shingled_members(spark, sf_dir).filter("key = rep").select("key", "copies")
+    buckets = shingles.bands(_signed(spark, sf_dir)).join(copies, "key").groupBy("band", "bucket").agg(F.sum("copies").alias("ads"))
+    return buckets.select(F.col("band").cast("bigint").alias("band"), "bucket", "ads")
 
 
 def lsh_pairs(spark, sf_dir):
@@ -136,7 +174,7 @@ def lsh_pairs(spark, sf_dir):
 
 
 def lsh_duplicates(spark, sf_dir):
-    return shingles.later_copies(lsh_pairs(spark, sf_dir))
+    return shingles.later_copies(lsh_pairs(spark, sf_dir), _shingled_members(spark, sf_dir))
 
 
 def jaccard_exact(spark, sf_dir):
@@ -145,7 +183,7 @@ def jaccard_exact(spark, sf_dir):
 
 def lsh_recall(spark, sf_dir):
     found = lsh_duplicates(spark, sf_dir).withColumn("lsh", F.lit(1))
-    exact = shingles.later_copies(jaccard_exact(spark, sf_dir)).withColumn("exact", F.lit(1))
+    exact = shingles.later_copies(jaccard_exact(spark, sf_dir), _shingled_members(spark, sf_dir)).withColumn("exact", F.lit(1))
     both = found.join(exact, "key", "full").select(F.coalesce("lsh", F.lit(0)).alias("lsh"), F.coalesce("exact", F.lit(0)).alias("exact"))
     return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in ((F.col("lsh"), "n_lsh"), (F.col("exact"), "n_exact"), (F.col("lsh") * F.col("exact"), "n_both"))))
 
@@ -202,13 +240,44 @@ def svd_reconstruct(spark, sf_dir):
     return cluster.reconstructed(_points(spark, sf_dir), 10).select(F.col("id").alias("vec_id"), F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
+def svd_energy(spark, sf_dir):
+    """The squares of all singular values add up to those of the points' places."""
+    points = _points(spark, sf_dir)
+    width = points.select(F.size("vector").alias("d")).first()["d"]
+    values = cluster.svd(points, width)[1]
+    return spark.createDataFrame([(len(values), round(float((values**2).sum()), 3))], "places int, energy double")
+
+
 def svd_synthetic(spark, sf_dir):
     points = materialize(synthetic_points(spark, sf_dir), "synthetic")
     return cluster.svd(points, 50)[0]
 
 
 def synthetic_points(spark, sf_dir):
-    return cluster.without_hot_scale(cluster.synthetic_points(spark, 50, 1000, 50), 50)
+    return cluster.without_hot_scale(synthetic_raw(spark, sf_dir), 50)
+
+
+def synthetic_raw(spark, sf_dir):
+    """The generated points before any scaling; generated, not read."""
+    return cluster.synthetic_points(spark, 50, 1000, 50)
+
+
+def synthetic_labels(spark, sf_dir):
+    """The cluster each generated point belongs to, and where its one-hot part has its one."""
+    return synthetic_raw(spark, sf_dir).select("id", "label", (F.array_position(F.slice("vector", 1, 50), 1.0) - 1).cast("int").alias("hot"))
+
+
+def ground_clusters(spark, sf_dir):
+    """The known clusters of the vectors, with their sizes and first members."""
+    return _points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.min("id").alias("first_id"))
+
+
+def synthetic_agreement(spark, sf_dir):
+    """Agreement with the known clusters of k-means over the reduced synthetic points."""
+    points = materialize(synthetic_points(spark, sf_dir), "synthetic")
+    reduced = materialize(cluster.svd(points, 50)[0].withColumnRenamed("reduced", "vector"), "synthetic-reduced")
+    found = cluster.kmeans(reduced, cluster.seeds(reduced, cluster.farthest_first(reduced, 50, 0)))[0]
+    return cluster.agreement(found, points)
 
 
 def _songs(spark, sf_dir):
@@ -263,6 +332,50 @@ def long_items(spark, sf_dir):
     return songs.long_items(rows).select("idx", *(F.array_join(c, " ").alias(c) for c in ("tokens", "mask", "segments")))
 
 
+#: Vocabulary of a public subword tokenizer with marks of a text's start and end.
+SUBWORDS = os.environ.get("LODEWORKS_SUBWORDS", "/opt/tokenizers/word_bpe_49k.json")
+
+
+def multi_hot(spark, sf_dir):
+    return songs.multi_hot(_balanced(spark, sf_dir)).select("word_id", "word", F.array_join("hot", " ").alias("hot"))
+
+
+def subword_items(spark, sf_dir):
+    items = songs.subword_items(songs.balanced(_songs(spark, sf_dir)), SUBWORDS)
+    return items.select("idx", *(F.array_join(c, " ").alias(c) for c in ("ids", "mask", "segments")))
+
+
+def _read_again(spark, df, write, read):
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    write(df, path)
+    keep(spark, path)
+    return read(path)
+
+
+def tsv_log(spark, sf_dir):
+    """The listening log as tab-separated text without header, written and read again."""
+    return _read_again(spark, table(spark, sf_dir, LOG).select(*LISTENING_LOG.names), lambda df, p: write_tsv(df, p, header=False), lambda p: read_tsv(spark, p, LISTENING_LOG, null=NULL))
+
+
+def tsv_ads(spark, sf_dir):
+    """The prepared ads as tab-separated text with header, written and read again."""
+    return _read_again(spark, table(spark, sf_dir, PREPARED).select(*ADS.names), write_tsv, lambda p: read_csv(spark, p, ADS, "\t", NULL))
+
+
+def csv_songs(spark, sf_dir):
+    """The songs, whose lyrics span lines, as comma-separated text, written and read again."""
+    return _read_again(spark, table(spark, sf_dir, "lyrics").select(*SONGS.names), write_csv, lambda p: read_csv(spark, p, SONGS, null=NULL))
+
+
+def model_checkpoint(spark, sf_dir):
+    """The test songs' classes by the classifier that was best on the dev split, stored and loaded again."""
+    rows = materialize(_balanced(spark, sf_dir), "balanced")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model = songs.best_classifier(rows, path)
+    keep(spark, path)
+    return songs.class_metrics(songs.confusion(songs.predicted(model, rows)))
+
+
 def _cells(spark, sf_dir):
     points = _points(spark, sf_dir)
     assigned = _assigned(spark, sf_dir)
@@ -297,11 +410,12 @@ def classifier_eval(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        play_counts_having, basket_lists, postings, track_users, top_tracks, top_pairs, grouped_avg, dedup_first, distinct_links, extract_pages,
-        tokenize_counts, doc_freq, tfidf_index, search_top22, stemmed_tokens, shingle_counts, class_members, minhash_signature, lsh_bands, lsh_pairs,
+        play_counts_having, basket_lists, postings, track_users, top_tracks, top_pairs, grouped_avg, dedup_first, dedup_file_order, distinct_links, extract_pages,
+        tokenize_counts, doc_freq, tfidf_index, index_stored, search_top22, stemmed_tokens, shingle_counts, class_members, minhash_signature, lsh_bands, lsh_pairs,
         lsh_duplicates, jaccard_exact, lsh_recall, kmeans_assign, kmeans_step, kmeans, farthest_first, cluster_agreement, kmeans_agreement, svd_reduce,
-        svd_singular_values, svd_reconstruct, svd_synthetic, synthetic_points, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
-        encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval,
+        svd_singular_values, svd_reconstruct, svd_energy, svd_synthetic, synthetic_points, synthetic_raw, synthetic_labels, synthetic_agreement, ground_clusters,
+        tsv_log, tsv_ads, csv_songs, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
+        multi_hot, subword_items, encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval, model_checkpoint,
     )
 }
 
@@ -329,16 +443,35 @@ total AS (SELECT count(DISTINCT links) AS n FROM rows_once),
 weights AS (SELECT term, doc, tf, df, round((1 + log10(tf)) * (1 + log10(n / df)), 6) AS weight FROM counts JOIN dfs USING (term) CROSS JOIN total)"""
 _SHINGLES = f"""texts AS (SELECT min(links) AS key, descriptions AS text FROM {CLEARED} WHERE descriptions IS NOT NULL AND links IS NOT NULL GROUP BY descriptions),
 shingles AS (SELECT key, list_distinct(list_transform(range(1, length(text) - 8), lambda i: substr(text, i, 10))) AS s FROM texts WHERE length(text) >= 10)"""
-_SIGNED = _SHINGLES + """, hexed AS (SELECT key, list_transform(s, lambda x: sha1(x)) AS s FROM shingles),
+#: The same with every ad a text of its own, copies too.
+_EVERY = _SHINGLES.replace("min(links) AS key", "links AS key").replace("GROUP BY descriptions", "GROUP BY ALL")
+_SIGN = """, hexed AS (SELECT key, list_transform(s, lambda x: sha1(x)) AS s FROM shingles),
 signed AS (SELECT key, list_transform(range(0, 10), lambda i: list_min(list_transform(s, lambda x: right(sha1(x || lpad(i::VARCHAR, 20, '0')), 10)))) AS signature FROM hexed),
 hashes AS (SELECT key, unnest(signature) AS h, generate_subscripts(signature, 1) AS band FROM signed)"""
-_LSH = _SIGNED + """, pairs AS (SELECT a.key AS a, b.key AS b, count(*) / 10 AS score FROM hashes a JOIN hashes b ON a.band = b.band AND a.h = b.h AND a.key < b.key GROUP BY ALL HAVING count(*) >= 8)"""
+_SIGNED = _SHINGLES + _SIGN
+_SIGNED_EVERY = _EVERY + _SIGN
+_PAIRS = """, pairs AS (SELECT a.key AS a, b.key AS b, count(*) / 10 AS score FROM hashes a JOIN hashes b ON a.band = b.band AND a.h = b.h AND a.key < b.key GROUP BY ALL HAVING count(*) >= 8)"""
+_LSH, _LSH_EVERY = _SIGNED + _PAIRS, _SIGNED_EVERY + _PAIRS
 _EXACT = """sizes AS (SELECT key, len(s) AS n FROM shingles), flat AS (SELECT key, unnest(s) AS s FROM shingles),
 shared AS (SELECT a.key AS a, b.key AS b, count(*) AS k FROM flat a JOIN flat b ON a.s = b.s AND a.key < b.key GROUP BY ALL),
 exact AS (SELECT a, b, k / (x.n + y.n - k) AS jaccard FROM shared JOIN sizes x ON x.key = a JOIN sizes y ON y.key = b WHERE k / (x.n + y.n - k) >= 0.8)"""
 _ASSIGNED = f"""points AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 gaps AS (SELECT p.vec_id, p.v, p.label, s.vec_id::INTEGER AS cluster, s.label AS predicted, list_distance(p.v, s.v) ** 2 AS distance FROM points p JOIN points s ON s.vec_id < {len(SEEDS)}),
 assigned AS (SELECT vec_id, v, label, arg_min(cluster, (distance, cluster)) AS cluster, arg_min(predicted, (distance, cluster)) AS predicted, min(distance) AS distance FROM gaps GROUP BY ALL)"""
+K = len(SEEDS)
+_FARTHEST = "p0 AS (SELECT vec_id, embedding::DOUBLE[] AS v, NULL::DOUBLE AS gap FROM embeddings), c0 AS (SELECT 0 AS step, vec_id, v FROM p0 WHERE vec_id = 0), " + ", ".join(
+    f"p{i} AS (SELECT p.vec_id, p.v, least(p.gap, list_distance(p.v, c.v) ** 2) AS gap FROM p{i - 1} p JOIN c{i - 1} c ON true), c{i} AS (SELECT {i} AS step, vec_id, v FROM p{i} ORDER BY gap DESC, vec_id LIMIT 1)" for i in range(1, K)
+) + ", chosen AS (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(K)) + ")"
+# passes go on to a number beyond which no center of the given vectors moves; further ones change nothing
+_LLOYD = _FARTHEST + f""", passes AS (
+    SELECT 0 AS pass, step AS cluster, v AS center FROM chosen
+    UNION ALL
+    SELECT pass, cluster, list(x ORDER BY dim) AS center FROM (
+        SELECT pass + 1 AS pass, cluster, dim, avg(x) AS x
+        FROM (SELECT pass, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS dim
+              FROM (SELECT pass, vec_id, any_value(p.v) AS v, arg_min(cluster, (list_distance(p.v, center) ** 2, cluster)) AS cluster FROM p0 p JOIN passes ON pass < 60 GROUP BY ALL))
+        GROUP BY ALL) GROUP BY ALL),
+final AS (SELECT vec_id, arg_min(cluster, (list_distance(p.v, center) ** 2, cluster))::INTEGER AS cluster FROM p0 p JOIN passes ON pass = 60 GROUP BY ALL)"""
 _CELLS = _ASSIGNED + ", cells AS (SELECT label, predicted, count(*) AS n FROM assigned GROUP BY ALL)"
 _SONGS = """songs AS (SELECT DISTINCT idx, genre, replace(replace(replace(trim(trim(lower(coalesce(lyrics, 'nan')), '[]'), '()'), 'chorus', ''), 'verse', ''), 'intro', '') AS text FROM lyrics),
 cleaned AS (SELECT * FROM songs WHERE length(text) > 10)"""
@@ -361,11 +494,15 @@ SQL = {
         SELECT location, count(*) AS ads, round(avg(price), 4) AS avg_price FROM priced WHERE price IS NOT NULL AND location IS NOT NULL GROUP BY ALL""",
     "dedup_first": f"""SELECT links, titles, timestamps, locations, descriptions, prices FROM {SCRAPED} WHERE links <> 'links'
         QUALIFY row_number() OVER (PARTITION BY links ORDER BY timestamps NULLS FIRST, prices NULLS FIRST, titles NULLS FIRST, locations NULLS FIRST, descriptions NULLS FIRST) = 1""",
+    "dedup_file_order": f"""SELECT links, titles, timestamps, locations, descriptions, prices FROM (SELECT *, row_number() OVER () AS place FROM {SCRAPED}) WHERE links <> 'links'
+        QUALIFY row_number() OVER (PARTITION BY links ORDER BY place) = 1""",
     "distinct_links": f"SELECT count(DISTINCT links) AS n FROM {SCRAPED} WHERE links <> 'links'",
     "extract_pages": "SELECT links, " + ", ".join(f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '') AS {c}" for c in ("titles", "timestamps", "locations", "descriptions", "prices")) + f" FROM {CLEARED}",
     "tokenize_counts": f"WITH {_ADS} SELECT * FROM counts",
     "doc_freq": f"WITH {_ADS} SELECT * FROM dfs",
     "tfidf_index": f"WITH {_INDEX} SELECT * FROM weights",
+    "index_stored": f"""WITH {_INDEX}, lengths AS (SELECT links AS doc, max(coalesce(length(titles), 0) + coalesce(length(descriptions), 0)) AS length FROM rows_once GROUP BY ALL)
+        SELECT weights.*, length::INTEGER AS length FROM weights LEFT JOIN lengths USING (doc)""",
     "search_top22": f"""WITH {_INDEX}, query AS (SELECT unnest({_listed(search.query_tokens(QUERY))}) AS term),
         lengths AS (SELECT links AS doc, max(coalesce(length(titles), 0) + coalesce(length(descriptions), 0)) AS length FROM rows_once GROUP BY ALL)
         SELECT doc, round(sum(weight * (1.0 / (SELECT count(*) FROM query)) * (1 + log10((n + 1) / df))) / any_value(length), 8) AS score
@@ -373,14 +510,26 @@ SQL = {
     "shingle_counts": f"SELECT links, CASE WHEN length(descriptions) >= 10 THEN len(list_distinct(list_transform(range(1, length(descriptions) - 8), lambda i: substr(descriptions, i, 10)))) ELSE 0 END AS shingles FROM {CLEARED} WHERE descriptions IS NOT NULL",
     "class_members": f"SELECT DISTINCT links AS key, min(links) OVER (PARTITION BY descriptions) AS rep FROM {CLEARED} WHERE descriptions IS NOT NULL AND links IS NOT NULL",
     "minhash_signature": f"WITH {_SIGNED} SELECT key, array_to_string(signature, '') AS signature FROM signed",
-    "lsh_bands": f"WITH {_SIGNED} SELECT band, sha1(h) AS bucket, count(*) AS texts FROM hashes GROUP BY ALL",
+    "lsh_bands": f"WITH {_SIGNED_EVERY} SELECT band, sha1(h) AS bucket, count(*) AS ads FROM hashes GROUP BY ALL",
     "lsh_pairs": f"WITH {_LSH} SELECT * FROM pairs",
-    "lsh_duplicates": f"WITH {_LSH} SELECT DISTINCT b AS key FROM pairs",
+    "lsh_duplicates": f"WITH {_LSH_EVERY} SELECT DISTINCT b AS key FROM pairs",
     "jaccard_exact": f"WITH {_SHINGLES}, {_EXACT} SELECT a, b, round(jaccard, 6) AS jaccard FROM exact",
-    "lsh_recall": f"""WITH {_LSH}, {_EXACT}, found AS (SELECT DISTINCT b FROM pairs), true_ones AS (SELECT DISTINCT b FROM exact)
+    "lsh_recall": f"""WITH {_LSH_EVERY}, {_EXACT}, found AS (SELECT DISTINCT b FROM pairs), true_ones AS (SELECT DISTINCT b FROM exact)
         SELECT (SELECT count(*) FROM found) AS n_lsh, (SELECT count(*) FROM true_ones) AS n_exact, (SELECT count(*) FROM found JOIN true_ones USING (b)) AS n_both""",
     "kmeans_assign": f"WITH {_ASSIGNED} SELECT vec_id, cluster, round(distance, 4) AS distance FROM assigned",
     "kmeans_step": f"WITH {_ASSIGNED}, cells AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM assigned) SELECT cluster, dim::INTEGER AS dim, round(avg(x), 5) AS mean FROM cells GROUP BY ALL",
+    "farthest_first": f"WITH {_FARTHEST} SELECT step::INTEGER AS step, vec_id FROM chosen",
+    "kmeans": f"WITH RECURSIVE {_LLOYD} SELECT vec_id, cluster FROM final",
+    "kmeans_agreement": f"""WITH RECURSIVE {_LLOYD}, cells AS (SELECT label, cluster, count(*) AS n FROM final JOIN embeddings USING (vec_id) GROUP BY ALL)
+        SELECT label, round(max(n / (found + known - n)), 6) AS jaccard
+        FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS found, sum(n) OVER (PARTITION BY label) AS known FROM cells) GROUP BY label""",
+    "svd_energy": "SELECT max(d)::INTEGER AS places, round(sum(x), 3) AS energy FROM (SELECT len(embedding) AS d, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS x FROM embeddings)",
+    "synthetic_labels": "SELECT i AS id, (i % 50)::INTEGER AS label, (i % 50)::INTEGER AS hot FROM range(50000) r(i)",
+    "ground_clusters": "SELECT label, count(*) AS points, min(vec_id) AS first_id FROM embeddings GROUP BY ALL",
+    "tsv_log": f"SELECT {', '.join(LISTENING_LOG.names)} FROM {LOG}",
+    "tsv_ads": f"SELECT {', '.join(ADS.names)} FROM {PREPARED}",
+    "csv_songs": f"SELECT {', '.join(SONGS.names)} FROM lyrics",
+    "multi_hot": f"WITH {_HEAD}, hot AS (SELECT word, concat_ws(' ', " + ", ".join(f"max((genre = '{c}')::INTEGER)" for c in songs.CLASSES) + ") AS hot FROM words GROUP BY word) SELECT word_id, word, hot FROM hot JOIN vocabulary USING (word)",
     "cluster_agreement": f"""WITH {_ASSIGNED}, cells AS (SELECT label, cluster, count(*) AS n FROM assigned GROUP BY ALL)
         SELECT label, round(max(n / (found + known - n)), 6) AS jaccard
         FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS found, sum(n) OVER (PARTITION BY label) AS known FROM cells) GROUP BY label""",

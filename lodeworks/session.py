@@ -7,12 +7,15 @@ import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
+_stored: dict[tuple[str, str], str] = {}
 _shipped: set[str] = set()
 
 
@@ -64,6 +67,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def stored(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The path of a table that build(path) writes into the shared folder once a session; it stays until the session's process ends."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        build(path)
+        _stored[key] = path
+        keep(spark, path)
+    return _stored[key]
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Remove what lies at the path when the session's process ends."""
+    _kept.append((spark, path))
+
+
 @contextmanager
 def scope():
     """Removes, at its end, the tables that materialize() wrote inside it; results that read them must be stored by then."""
@@ -106,7 +125,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in [*_written, *_kept]:
         try:
             if spark.sparkContext._jsc is not None:
                 _remove(spark, path)

@@ -32,30 +32,61 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = False) -> DataFrame:
-    """Tab-separated text with an explicit schema; short rows get nulls."""
-    return spark.read.csv(path, sep="\t", schema=schema, header=header, mode="PERMISSIVE", enforceSchema=True)
+#: What stands for null in text written here, where every value is quoted, so that empty strings stay what they are.
+NULL = "\\N"
+_QUOTES = {"quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Comma-separated text whose quoted fields may span lines (lyrics)."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+def _written_here(null: str | None) -> dict[str, str]:
+    return {} if null is None else {"nullValue": null, "emptyValue": ""}
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"')
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = False, null: str | None = None) -> DataFrame:
+    """Tab-separated text with an explicit schema; short rows get nulls, as do empty values unless null names another mark."""
+    return spark.read.csv(path, sep="\t", schema=schema, header=header, mode="PERMISSIVE", enforceSchema=True, **_QUOTES, **_written_here(null))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", null: str | None = None) -> DataFrame:
+    """Separated text with header whose quoted fields may span lines (lyrics)."""
+    return spark.read.csv(path, sep=sep, schema=schema, header=True, multiLine=True, **_QUOTES, **_written_here(null))
+
+
+def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
+    _write_text(df, path, "\t", header)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    _write_text(df, path, ",", True)
+
+
+def _write_text(df: DataFrame, path: str, sep: str, header: bool) -> None:
+    options = {"quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").csv(path, sep=sep, header=header, **_QUOTES, **_written_here(NULL), **options)
+
+
+def with_file_order(rows: DataFrame) -> DataFrame:
+    """A table just read from parquet files with __file and __row: the order in which its rows are stored."""
+    return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 class _Fields(HTMLParser):
-    """Collects, for each item element, the first text or attribute of the named fields."""
+    """Collects, for each item element within the scope, the first text or attribute of the named fields."""
 
-    def __init__(self, item: tuple[str, str], fields: dict[str, tuple[str, str, str | None]]) -> None:
+    def __init__(self, item: tuple[str, str], fields: dict[str, tuple[str, str, str | None]], scope: str | None) -> None:
         super().__init__(convert_charrefs=True)
         self.item, self.fields, self.rows, self.open = item, fields, [], None
+        self.scope, self.within, self.depth = scope, None, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         have = dict(attrs)
         classes = (have.get("class") or "").split()
+        if self.scope is not None:
+            if self.within is None and have.get("id") == self.scope:
+                self.within = tag
+            if tag == self.within:
+                self.depth += 1
+            if self.within is None:
+                return
         if tag == self.item[0] and self.item[1] in classes:
             self.rows.append(dict.fromkeys(self.fields))
         self.open = None
@@ -73,6 +104,10 @@ class _Fields(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.open = None
+        if tag == self.within:
+            self.depth -= 1
+            if not self.depth:
+                self.within = None
 
 
 #: Where an ads page holds each field (tag, class, attribute or None for the text).
@@ -86,10 +121,11 @@ AD_FIELDS = {
 }
 
 
-def extract_ads(pages: DataFrame, html: str = "html", item: tuple[str, str] = ("div", "item")) -> DataFrame:
+def extract_ads(pages: DataFrame, html: str = "html", item: tuple[str, str] = ("div", "item"), scope: str | None = "search-result") -> DataFrame:
     """One row per ad of each page; fields missing in an item are null.
 
-    Fields are taken within their item, so a missing one shifts nothing.
+    Only items inside the element whose id is scope are taken (all of the
+    page's if scope is None), which leaves out advertisements around it. Fields are taken within their item, so a missing one shifts nothing.
     Null or empty pages give no rows.
     """
 
@@ -97,7 +133,7 @@ def extract_ads(pages: DataFrame, html: str = "html", item: tuple[str, str] = ("
         for batch in batches:
             rows = []
             for text in batch["html"].dropna():
-                parser = _Fields(item, AD_FIELDS)
+                parser = _Fields(item, AD_FIELDS, scope)
                 parser.feed(text)
                 rows += parser.rows
             yield pd.DataFrame(rows, columns=list(AD_FIELDS), dtype=object)

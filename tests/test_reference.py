@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodeworks.functions.hashing import char_shingles, distinct
 from lodeworks.functions.text import normalised, tokens, word_count
 from lodeworks.functions.words import ITALIAN, stem_italian, stemmed, without
 from lodeworks.operators import ads, baskets, cluster, search, shingles, songs
@@ -53,20 +54,28 @@ def test_baskets(spark):
     assert {tuple(r) for r in counts.collect()} == {("u", "a", 3), ("u", "b", 2), ("v", "a", 2), ("v", "c", 2)}
     lists = baskets.baskets(counts)
     assert {tuple(r) for r in lists.collect()} == {("u", "a b"), ("v", "a c")}
-    assert baskets.postings(lists).count() == 4
+    assert {tuple(r) for r in baskets.postings(counts).collect()} == {("a", "u"), ("b", "u"), ("a", "v"), ("c", "v")}
     top = baskets.top_tracks(baskets.track_users(counts))
     assert [tuple(r) for r in top.collect()] == [("a", 2), ("b", 1), ("c", 1)]
     assert [tuple(r) for r in baskets.top_pairs(top).collect()] == [("a", "b", 3), ("a", "c", 3), ("b", "c", 2)]
     assert baskets.top_pairs(top.limit(0)).collect() == []
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "casa bella casa", None), ("d2", "bella vista", "casa"), ("d3", None, "")], "links string, descriptions string, titles string")
     counts = search.term_counts(docs, "links", ["descriptions", "titles"], [])
     lengths = docs.select(F.col("links").alias("doc"), (F.coalesce(F.length("descriptions"), F.lit(0)) + F.coalesce(F.length("titles"), F.lit(0))).alias("length"))
-    rows = search.search(counts, lengths, 3, ["cas", "casa"]).collect()
+    path = str(tmp_path / "index")
+    search.store_index(search.index(counts, 3), lengths, path)
+    assert search.stored_postings(spark, path).count() == 5
+    query = ["cas", "casa"]
+    read = search.stored_postings(spark, path, query)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+    rows = search.search(read, 3, query).collect()
     weight = (1 + np.log10(2)) * (1 + np.log10(3 / 2)) * (1 + np.log10(4 / 2)) / 2 / 15
     assert rows[0]["doc"] in ("d1", "d2") and {r["doc"]: r["score"] for r in rows}["d1"] == pytest.approx(weight, abs=1e-7)
+    assert search.search(search.stored_postings(spark, path, []), 3, []).collect() == [] == search.search(search.stored_postings(spark, path, ["zzz"]), 3, ["zzz"]).collect()
     assert search.query_tokens("la casa della CASA") == ["cas"]
 
 
@@ -83,7 +92,7 @@ def test_shingles_signatures_and_pairs(spark):
     df = spark.createDataFrame(texts, "k string, t string")
     once = shingles.distinct_texts(df, "k", "t")
     assert {r["key"] for r in once.collect()} == {"a", "b", "d", "e"}
-    assert {tuple(r) for r in shingles.class_members(df, "k", "t").collect()} == {("a", "a"), ("c", "a"), ("b", "b"), ("d", "d"), ("e", "e")}
+    assert {tuple(r) for r in shingles.class_members(df, "k", "t").collect()} == {("a", "a", 2), ("c", "a", 2), ("b", "b", 1), ("d", "d", 1), ("e", "e", 1)}
     signed = shingles.signatures(once)
     got = {r["key"]: r["signature"] for r in signed.collect()}
     assert got["a"] == naive_signature(base) and set(got) == {"a", "b", "d"}
@@ -93,6 +102,24 @@ def test_shingles_signatures_and_pairs(spark):
     assert shingles.jaccard_pairs(once.limit(0)).collect() == []
 
 
+def test_duplicates_count_copies(spark):
+    base = "il palazzo degli anni settanta ha un cortile e una rampa per le auto dei condomini"
+    rows = [("b", base), ("e", base), ("d", base + "!"), ("a", base + "!"), ("f", base + "!"), ("z", "un testo solo che non somiglia agli altri"), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    pairs = spark.createDataFrame([("a", "b", 0.9)], "a string, b string, score double")
+    sets = {k: {t[i : i + 10] for i in range(len(t) - 9)} for k, t in rows if t}
+    want = {b for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {r["key"] for r in shingles.later_copies(pairs, shingles.class_members(df, "k", "t")).collect()} == want
+
+
+@given(st.lists(st.text(min_size=10, max_size=40), min_size=1, max_size=5))
+@settings(max_examples=50, deadline=None)
+def test_shingle_hashes(texts):
+    hashes, offsets = char_shingles(texts, 10)
+    assert list(np.diff(offsets)) == [len(t) - 9 for t in texts]
+    assert len(distinct(hashes)) == len({t[i : i + 10] for t in texts for i in range(len(t) - 9)}) == len(set(hashes.tolist()))
+
+
 def test_jaccard_against_brute_force(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(60)]
@@ -214,14 +241,46 @@ def test_metrics(spark):
 
 def test_extract_ads(spark):
     html = '<div class="item"><a class="cta" href="/1?a=1&amp;b=2"> Bella &amp; nuova </a><p class="locale">Roma</p></div><div class="item"><h4 class="price">10 €</h4></div>'
-    rows = tables.extract_ads(spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string")).collect()
-    assert [tuple(r) for r in rows] == [("/1?a=1&b=2", "Bella & nuova", None, "Roma", None, None), (None, None, None, None, None, "10 €")]
+    want = [("/1?a=1&b=2", "Bella & nuova", None, "Roma", None, None), (None, None, None, None, None, "10 €")]
+    rows = tables.extract_ads(spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string"), scope=None).collect()
+    assert [tuple(r) for r in rows] == want
+    around = '<img src="x"><div class="item"><a class="cta" href="/ad">Sponsored</a></div>'
+    page = f'<html><body>{around}<div id="menu"><div></div></div><div id="search-result"><div><br>{html}</div></div><div>{around}</div><p class="locale">Milano</p></body></html>'
+    rows = tables.extract_ads(spark.createDataFrame([(1, page), (2, around)], "page int, html string")).collect()
+    assert [tuple(r) for r in rows] == want
 
 
 def test_text_files(spark, tmp_path):
-    df = spark.createDataFrame([("u", "1", "a", None, "t", 'q"x'), ("v", "2", "b", "n", "t", "y")], tables.LISTENING_LOG)
-    tables.write_tsv(df, str(tmp_path / "log"))
-    back = tables.read_tsv(spark, str(tmp_path / "log"), tables.LISTENING_LOG, header=True)
-    assert back.count() == 2 and back.filter("userid = 'v'").first()["traname"] == "y"
+    texts = ["", None, " a ", "a\tb", 'q"x"', "\\", "a,b", "é", '""', "\t", "-"]
+    df = spark.createDataFrame([(t, "1", "a", t, "t", "y") for t in texts], tables.LISTENING_LOG)
+    for header in (True, False):
+        tables.write_tsv(df, str(tmp_path / "log"), header=header)
+        back = tables.read_tsv(spark, str(tmp_path / "log"), tables.LISTENING_LOG, header=header, null=tables.NULL)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "plain.tsv").write_text("u\t1\ta\t\tt\ty\nv\t2\n")
+    assert [tuple(r) for r in tables.read_tsv(spark, str(tmp_path / "plain.tsv"), tables.LISTENING_LOG).collect()] == [("u", "1", "a", None, "t", "y"), ("v", "2", None, None, None, None)]
     (tmp_path / "songs.csv").write_text('idx,song,song_year,artist,genre,lyrics\n1,s,2000,a,Rock,"one\ntwo ""q"""\n')
     assert tables.read_csv(spark, str(tmp_path / "songs.csv"), tables.SONGS).first()["lyrics"] == 'one\ntwo "q"'
+    df = spark.createDataFrame([(1, t, None, None, "", 'one\r\n\ntwo, "q"\r') for t in texts], tables.SONGS)
+    tables.write_csv(df, str(tmp_path / "songs"))
+    assert sorted(map(str, tables.read_csv(spark, str(tmp_path / "songs"), tables.SONGS, null=tables.NULL).collect())) == sorted(map(str, df.collect()))
+
+
+def test_first_rows_in_file_order(spark, tmp_path):
+    spark.createDataFrame([(k, i) for i, k in enumerate("bacabcab")], "k string, v int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = tables.with_file_order(spark.read.parquet(str(tmp_path / "t")))
+    assert {tuple(r)[:2] for r in ads.first_by_key(rows, "k", ["__file", "__row"]).collect()} == {("b", 0), ("a", 1), ("c", 2)}
+
+
+def test_subword_items(spark):
+    from lodeworks.plans.reference_queries import SUBWORDS
+
+    df = spark.createDataFrame([(1, "word " * 200), (2, "short one"), (3, None), (4, "a b c d <|endoftext|>")], "idx bigint, text string")
+    rows = {r["idx"]: r for r in songs.subword_items(df, SUBWORDS, length=5).collect()}
+    assert set(rows) == {1, 4} and all(len(r[c]) == 5 for r in rows.values() for c in ("ids", "mask", "segments"))
+    assert rows[1]["ids"][0] == rows[4]["ids"][0] == 49406 and len(set(rows[1]["ids"][1:])) == 1 and set(rows[1]["mask"]) == {1}
+
+
+def test_multi_hot(spark):
+    rows = spark.createDataFrame([(1, "Rock", ["a", "b"]), (2, "Jazz", ["a"])], "idx int, genre string, tokens array<string>")
+    assert [tuple(r) for r in songs.multi_hot(rows, ("Rock", "Jazz")).orderBy("word_id").collect()] == [(0, "a", [1, 1]), (1, "b", [1, 0])]

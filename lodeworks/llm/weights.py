@@ -20,10 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.hashing import distinct
 from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize
 
 WINDOW = 4
+#: Terms with more than this part of all postings stay in place; they are fewer than HOT_TERMS.
+HOT_TERMS = 10_000
 #: Bytes of text whose graphs are built at once.
 CHUNK = 4_000_000
 
@@ -48,14 +51,16 @@ def term_graphs(fields: list[pa.Array], window: int) -> tuple[np.ndarray, pa.Arr
     spot = np.concatenate([o * len(fields) + k for k, (_, o) in enumerate(split)])  # record and field
     coded = words.dictionary_encode()
     codes, terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    nodes, node = np.unique(owner * max(1, len(terms)) + codes, return_inverse=True)
+    cells = owner * max(1, len(terms)) + codes
+    nodes = distinct(cells)
+    node = np.searchsorted(nodes, cells)
     edges = []
     for step in range(1, window):
         a, b = node[:-step], node[step:]
         near = (spot[:-step] == spot[step:]) & (a != b)
         a, b = a[near], b[near]
         edges.append(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
-    both = np.unique(np.concatenate(edges)) if edges else np.zeros(0, dtype=np.int64)
+    both = distinct(np.concatenate(edges)) if edges else np.zeros(0, dtype=np.int64)
     degree = np.bincount(both // max(1, len(nodes)), minlength=len(nodes)) + np.bincount(both % max(1, len(nodes)), minlength=len(nodes))
     return nodes // max(1, len(terms)), terms.take(pa.array(nodes % max(1, len(terms)))), np.bincount(node, minlength=len(nodes)), degree
 
@@ -82,7 +87,7 @@ def record_terms(ads: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def term_weights(ads: DataFrame, window: int = WINDOW, local: str = "degree", min_df: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(postings, records): postings (record, term, tf, degree, df, weight) and records (record, link).
+    """(postings, records): postings (record, term, tf or degree, df, weight) and records (record, link).
 
     Terms of fewer than min_df records have no postings. Postings meet the
     document frequencies in a join that leaves those of frequent terms in
@@ -91,12 +96,12 @@ def term_weights(ads: DataFrame, window: int = WINDOW, local: str = "degree", mi
     records = materialize(record_terms(ads, window).filter("size(terms) > 0").withColumn("record", F.monotonically_increasing_id()), "term-records")
     n = records.count()
     df = materialize(records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df), "term-df")
-    postings = records.select("record", F.explode(F.arrays_zip("terms", "tfs", "degrees")).alias("t"))
-    postings = postings.select("record", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"), F.col("t.degrees").alias("degree"))
+    counts = "degrees" if local == "degree" else "tfs"
+    postings = records.select("record", F.explode(F.arrays_zip("terms", counts)).alias("t")).select("record", F.col("t.terms").alias("term"), F.col(f"t.{counts}").alias(local))
     total = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     count = F.greatest(F.col("degree"), F.lit(1)) if local == "degree" else F.col("tf")
     weight = F.round((1 + F.log10(count.cast("double"))) * (1 + F.log10(F.lit(float(n)) / F.col("df"))), 6)
-    return with_sizes(postings, df, ["term"], "df", total).withColumn("weight", weight), records.select("record", "link")
+    return with_sizes(postings, df, ["term"], "df", total, hot_keys=HOT_TERMS).withColumn("weight", weight), records.select("record", "link")
 
 
 def top_terms(postings: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 import math
 from collections import Counter
-from functools import partial
 
 import pyarrow as pa
 import pytest
@@ -8,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodeworks.llm import weights
-from lodeworks.operators.skew import with_sizes
 
 SCHEMA = "links string, titles string, descriptions string, term string, record int"
 
@@ -43,7 +41,7 @@ def test_graphs_equal_brute_force(rows, window):
 
 @pytest.mark.parametrize("hot,chunk", [(1000, 4_000_000), (1, 1), (3, 10)])
 def test_weights(spark, monkeypatch, hot, chunk):
-    monkeypatch.setattr(weights, "with_sizes", partial(with_sizes, hot_keys=hot))
+    monkeypatch.setattr(weights, "HOT_TERMS", hot)
     monkeypatch.setattr(weights, "CHUNK", chunk)
     postings, records = weights.term_weights(ads(spark, ROWS), local="tf")
     got = {(r["link"], r["term"]): (r["tf"], r["df"], r["weight"]) for r in postings.join(records, "record").collect()}

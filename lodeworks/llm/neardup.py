@@ -149,7 +149,7 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
 
     def sketch(batches):
         for batch in batches:
-            for at, end in in_chunks(batch["norm"].tolist()):
+            for at, end in in_chunks(batch["norm"].tolist(), 200_000):
                 part = batch.iloc[at:end]
                 registers = sketches(*cutter(part["norm"].tolist(), shingle))
                 keys, used = bands(registers)

@@ -177,7 +177,7 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
         def cut(key: str, text: str) -> set[str]:
             nonlocal held
             if (found := sets.get(key)) is None:
-                if held > 3_000_000:
+                if held > 200_000:
                     sets.clear()
                     held = 0
                 found = sets[key] = shingle_set(text, shingle, words)
@@ -290,7 +290,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: f
     if copies.isEmpty():
         return pairs
     one, two = (members.select(F.col("id").alias(f"id_{c}"), F.col("rep").alias(c)) for c in "ab")
-    across = meet(materialize(meet(pairs, one, "a"), "neardup-copied"), two, "b")
+    if copies.agg(F.max("copies")).first()[0] <= DIRECT:
+        across = pairs.join(one, "a").join(two, "b")
+    else:
+        across = meet(materialize(meet(pairs, one, "a"), "neardup-copied"), two, "b")
     within = pairs_within(copies, "rep", "id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).unionByName(within)
 

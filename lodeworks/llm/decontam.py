@@ -47,23 +47,22 @@ class Hasher:
     """64-bit hashes of the n-grams of lists of words; each word is hashed once."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.known = n, {}
+        self.n, self.known, self.table = n, {}, np.zeros(0, dtype=np.uint64)
 
     def __getstate__(self):
-        return {"n": self.n, "known": {}}
+        return {"n": self.n, "known": {}, "table": np.zeros(0, dtype=np.uint64)}
 
     def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, offsets): those of every n consecutive words, text after text."""
         if len(self.known) > _CACHE:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        flat = []
+            self.known, self.table = {}, np.zeros(0, dtype=np.uint64)
+        new = list(set().union(*texts).difference(self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.table = np.concatenate([self.table, np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)])
+        number, flat = self.known.__getitem__, []
         for words in texts:
-            for w in words:
-                if (h := known.get(w)) is None:
-                    h = known[w] = digest(w)
-                flat.append(h)
-        values, counts = np.array(flat, dtype=np.uint64), np.array([len(w) for w in texts], dtype=np.int64)
+            flat += map(number, words)
+        values, counts = self.table[np.array(flat, dtype=np.int64)], np.array([len(w) for w in texts], dtype=np.int64)
         windows = np.maximum(counts - self.n + 1, 0)
         rolled = np.zeros(max(0, len(values) - self.n + 1), dtype=np.uint64)
         for j in range(self.n):

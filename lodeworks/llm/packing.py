@@ -5,7 +5,7 @@ decreasing. Dual feasible functions give a lower bound on the containers that
 any packing of the partition needs: one that meets its bound is certified and
 stays as it is. Where a gap is left, partitions release the items of their
 containers with unused space, exchange them and are packed again. They do so in
-groups of eight, then of sixty-four and so on up to all, and a group whose containers
+groups of two, then of four and so on up to all, and a group whose containers
 meet the bound of its items is certified and left out.
 
 An item above the capacity is cut into full pieces, each a container of its
@@ -107,7 +107,7 @@ def _packed(items: DataFrame, round_no: int) -> DataFrame:
 
 
 def _exchanged(packed: DataFrame, slots: int, per_partition: int) -> DataFrame:
-    """The placement after partitions have exchanged what lies in bins with room, first by eights, then by sixty-fours and so on.
+    """The placement after partitions have exchanged what lies in bins with room, first two by two, then four by four and so on.
 
     A group of partitions takes part only if its bins exceed the bound of its
     own items; a certified group stays as it is. The released items are dealt
@@ -120,25 +120,25 @@ def _exchanged(packed: DataFrame, slots: int, per_partition: int) -> DataFrame:
     loose, full = materialize(packed.filter("room > 0"), "pack-open"), packed.filter("room = 0")
     settled, level, saved = [full], 0, False
     counted = [materialize(full.groupBy("container", "slot").agg(F.count_distinct("bin").alias("bins")), "pack-full")]
-    while 1 << 3 * level < slots or saved:
+    while 1 << level < slots or saved:
         level, saved = level + 1, False
-        at = F.shiftright("slot", 3 * level).alias("group")
+        at = F.shiftright("slot", level).alias("group")
         bounds = _bounds(sizes.select("container", "capacity", at, "size", "n"), group, F.sum("n"))
         pool = loose.groupBy("container", at).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("round", "slot", "bin").alias("bins"), F.count_distinct("slot").alias("partitions"))
         fulls = reduce(DataFrame.unionByName, counted).groupBy("container", at).agg(F.sum("bins").alias("full"))
         known = pool.join(bounds, group).join(fulls, group, "left").filter((F.col("bins") + F.coalesce("full", F.lit(0)) > F.col("lower_bound")) & (F.col("partitions") > 1))
-        slot_count = F.least(F.ceil(F.col("items") / per_partition), F.lit(1 << min(30, 3 * level))).cast("int")
+        slot_count = F.least(F.ceil(F.col("items") / per_partition), F.lit(1 << min(30, level))).cast("int")
         gaps = materialize(known.select(*group, "bins", slot_count.alias("k")), "pack-gaps")
         if gaps.isEmpty():
             continue
         met = loose.withColumn("group", at).join(gaps.drop("bins"), group)
         dealt = F.pmod(F.xxhash64("round", "slot", "bin", "id", "piece", F.lit(level)), F.col("k")).cast("int")
-        again = _packed(met.select("container", "capacity", (F.shiftleft("group", 3 * level) + dealt).alias("slot"), "id", "piece", "size"), level)
+        again = _packed(met.select("container", "capacity", (F.shiftleft("group", level) + dealt).alias("slot"), "id", "piece", "size"), level)
         after = again.groupBy("container", at).agg(F.count_distinct("slot", "bin").alias("after"))
         better = materialize(gaps.join(after, group).filter("after < bins").select(*group), "pack-better")
         if better.isEmpty():
             continue
-        saved = 1 << 3 * level >= slots
+        saved = 1 << level >= slots
         taken = again.withColumn("group", at).join(better, group, "left_semi").drop("group")
         settled.append(taken.filter("room = 0"))
         counted.append(materialize(settled[-1].groupBy("container", "slot").agg(F.count_distinct("bin").alias("bins")), "pack-full"))

@@ -5,16 +5,20 @@ codes, delimited lists, numbered tracks, short lines, sentences. For each block
 SQL windows rank its terms by frequency and fit the rank-frequency curve: the
 slope of ln f over ln rank, the curve's level (the mean ln f of the ranks), its
 tail (the share of terms that occur once) and the fit's residual (the root of
-its mean square). The block's divergence is that
-of its terms from the prose of the language it is nearest to, over that
-language's COMMON terms of most blocks and one class for all others. These
-measures are held against sentence blocks of the same language and comparable
-length (powers of two). Blocks off them are checked for what makes them spam,
-and a page is found if such blocks cover more than half of its characters.
-
-Lines that recur within a block count once in its curve, so refrains do not
-look like keywords. Few lines without function words that make up a block by
-recurring over and over are spam whatever their curve. Numbered tracks with durations never are.
+its mean square). The block's divergence is that of its terms from the prose
+of the language it is nearest to, over that language's COMMON terms of most
+blocks and one class for all others; its excess is what repeats beyond that
+prose. These measures are held against sentence blocks of the same language
+and comparable length (powers of two). How far off a block must lie depends on
+its shape, and a page is found if such blocks cover more than half of its
+characters.
+
+But in lists a term counts once in its block's curve for each different word
+before it, so refrains and stock sentences, which bring the same words in the
+same order, do not look like keywords, which recur in ever new places. Verse,
+long lines without sentence marks, must lie much farther off. Few lines without
+function words that make up a block by recurring over and over are spam
+whatever their curve. Numbered tracks with durations never are.
 
 Defined results: null and empty texts are no pages; rows
 with a null id are left out; rows that share an id are pages of their own, and
@@ -36,15 +40,20 @@ from lodeworks.llm.langid import language_code
 from lodeworks.session import materialize, release
 
 COMMON = 400
-#: Spreads off prose that are extreme for sentences, and that put a list outside of it.
-EXTREME, LISTED = 3.0, 0.5
-#: A curve's tail, the share of terms that occur once, below this part of prose's is that of repeated keywords;
-#: in blocks of fewer than LONG terms, where two like sentences weigh more, the first holds.
-TAIL_PART, LONG_TAIL_PART, LONG = 0.25, 0.3, 64
+#: Spreads off prose that are extreme, those of any measure that put a list outside of it (85 % of sentence blocks lie
+#: within), and those of the level that sentences and verse need.
+EXTREME, LISTED, SENTENCES, VERSES = 3.0, 2.0, 2.5, 6.0
+#: The part of prose's tail (the share of terms that occur once) below which sentences and verse are repeated keywords,
+#: and the share of a block's terms in excess of prose and the frequency of its first term that sentences need as well.
+TAIL_PART, VERSE_TAIL_PART, EXCESS, TOP = 0.72, 0.5, 0.19, 3
+#: A sentence block this clearly below prose's tail needs no more proof than an extreme level.
+CLEAR_TAIL_PART = 0.55
+#: Occurrences of a common term, as a multiple of those that prose of the language has, that are no excess.
+USUAL = 4
 #: Sentence blocks that a language needs at a length to be its own standard.
 LEAST_BLOCKS = 30
 MEASURES = ("slope", "level", "tail", "residual", "divergence")
-#: Blocks of fewer terms have no curve; their shape alone counts.
+#: Blocks of fewer terms have no curve.
 LEAST_TERMS = 8
 #: Lines of a block for each distinct one from which lines without function words are repeated keywords; refrains stay below.
 REPEATS = 8
@@ -62,7 +71,10 @@ _LABEL = re.compile(r"^\w[\w ]{0,20}: ")
 #: What separates the entries of a list, and the entries it takes to be one.
 _DELIMITERS = ((" • ", 3), (" · ", 3), (" | ", 3), (" - ", 3), (";", 3), (">", 3), ("/", 3), (", ", 4))
 
-LINKS, TAGS, CODES, LIST, TRACKS, SHORT, PROSE, REPEATED = "links", "tags", "codes", "list", "tracks", "short", "prose", "repeated"
+LINKS, TAGS, CODES, LIST, TRACKS, SHORT, PROSE, VERSE, REPEATED = "links", "tags", "codes", "list", "tracks", "short", "prose", "verse", "repeated"
+_LISTED = (LINKS, TAGS, CODES, LIST)
+#: Lines without a sentence mark that make a block of long lines verse.
+VERSE_LINES = 3
 _FUNCTION = frozenset(ENGLISH) | frozenset(ITALIAN)
 
 
@@ -102,7 +114,7 @@ def keywords_repeated(lines: list[str]) -> bool:
 
 
 def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
-    """(shape, characters, mean words a line, terms without recurring lines) of each block of a page."""
+    """(shape, characters, mean words a line, terms) of each block of a page; but in lists a term counts once for each different word before it."""
     runs: list[tuple[str, list[str]]] = []
     for line in _BREAK.split(text or ""):
         if line := line.strip():
@@ -121,7 +133,11 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
         lower = [x.lower() for x in lines]
         if kind in (SHORT, PROSE) and keywords_repeated(lower):
             kind = REPEATED
-        terms = _TERM.findall("\n".join(dict.fromkeys(lower)))
+        elif kind == PROSE and len(lines) >= VERSE_LINES and sum(_SENTENCE.search(x) is not None for x in lines) <= 0.2 * len(lines):
+            kind = VERSE
+        terms = _TERM.findall("\n".join(lower))
+        if kind not in _LISTED:
+            terms = [b for _, b in dict.fromkeys(zip(["", *terms], terms))]
         out.append((kind, sum(map(len, lines)), sum(x.count(" ") + 1 for x in lines) / len(lines), terms))
     return out
 
@@ -158,7 +174,7 @@ def page_blocks(documents: DataFrame) -> DataFrame:
 
 def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple[str, float]]]:
     """Of each language the `common` terms in most prose blocks with their share of all such occurrences."""
-    prose = blocks.filter((F.col("shape") == PROSE) & F.col("lang").isNotNull() & (F.col("n") >= LEAST_TERMS))
+    prose = blocks.filter(F.col("shape").isin(PROSE, VERSE) & F.col("lang").isNotNull() & (F.col("n") >= LEAST_TERMS))
     counts = prose.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("blocks"))
     counts = materialize(counts, "prose-terms")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("blocks").alias("total")).collect()}  # one row a language
@@ -171,7 +187,11 @@ def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple
 
 
 def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) -> DataFrame:
-    """(block, slope, level, tail, residual, divergence, near): the curve of each block of LEAST_TERMS terms or more."""
+    """(block, slope, level, tail, residual, top, divergence, excess, near): the curve of each block of LEAST_TERMS terms or more.
+
+    excess is the share of the block's terms that repeat others beyond what
+    prose of the nearest language has of them.
+    """
     languages = sorted(reference)
     spark = blocks.sparkSession
     shares: dict[str, list[float | None]] = {}
@@ -184,21 +204,21 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
     ranked = curved.select("block", F.explode("freqs").alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("f"))))
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("f").cast("double"))
     off_line = F.sqrt(F.greatest(F.regr_syy(y, x) * (1 - F.regr_r2(y, x)), F.lit(0.0)) / F.count(F.lit(1)))
-    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.coalesce(off_line, F.lit(0.0)).alias("residual"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"))
+    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.coalesce(off_line, F.lit(0.0)).alias("residual"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"), F.max("f").alias("top"), (1 - F.count(F.lit(1)) / F.sum("f")).alias("repeats"))
     # a block's terms lie in one task, so its divergence sums are whole before their shuffle
-    met = curved.select("block", "n", F.explode(F.arrays_zip("terms", "freqs")).alias("t")).select("block", (F.col("t.freqs") / F.col("n")).alias("p"), F.col("t.terms").alias("term")).join(F.broadcast(known), "term")
+    met = curved.select("block", "n", F.explode(F.arrays_zip("terms", "freqs")).alias("t")).select("block", "n", F.col("t.freqs").alias("f"), (F.col("t.freqs") / F.col("n")).alias("p"), F.col("t.terms").alias("term")).join(F.broadcast(known), "term")
     sums = []
     for k in range(len(languages)):
         q = F.col("q")[k]
-        sums += [F.sum(F.when(q.isNotNull(), F.col("p") * F.log(F.col("p") / q)).otherwise(0.0)).alias(f"d{k}"), F.sum(F.when(q.isNotNull(), F.col("p")).otherwise(0.0)).alias(f"s{k}")]
+        sums += [F.sum(F.when(q.isNotNull(), F.col("p") * F.log(F.col("p") / q)).otherwise(0.0)).alias(f"d{k}"), F.sum(F.when(q.isNotNull(), F.col("p")).otherwise(0.0)).alias(f"s{k}"), F.sum(F.when(q.isNotNull(), F.least((F.col("f") - 1) / F.col("n"), USUAL * q)).otherwise(0.0)).alias(f"e{k}")]
     joined = fits.join(met.groupBy("block").agg(*sums), "block", "left") if sums else fits
     options = []
     for k, language in enumerate(languages):
         other = F.greatest(1 - F.coalesce(f"s{k}", F.lit(0.0)), F.lit(1e-9))
         rest = max(1e-3, 1 - sum(q for _, q in reference[language]))
-        options.append(F.struct((F.coalesce(f"d{k}", F.lit(0.0)) + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near")))
-    best = F.array_min(F.array(*options)) if options else F.struct(F.lit(0.0).alias("divergence"), F.lit(None).cast("string").alias("near"))
-    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "residual", "best.divergence", "best.near")
+        options.append(F.struct((F.coalesce(f"d{k}", F.lit(0.0)) + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near"), (F.col("repeats") - F.coalesce(f"e{k}", F.lit(0.0))).alias("excess")))
+    best = F.array_min(F.array(*options)) if options else F.struct(F.lit(0.0).alias("divergence"), F.lit(None).cast("string").alias("near"), F.col("repeats").alias("excess"))
+    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "residual", "top", "best.divergence", "best.excess", "best.near")
 
 
 def _middles(prose: DataFrame, by: list[str]) -> DataFrame:
@@ -212,21 +232,22 @@ def judged(blocks: DataFrame, fits: DataFrame) -> DataFrame:
     Prose is the sentence blocks whose tail is not already far below that of
     all sentence blocks of the length, so spam does not set the standard. A
     language with fewer than LEAST_BLOCKS at a length is held against all
-    languages; a length beyond all prose against the longest there is.
+    languages; a length beyond all prose against the longest there is. Without
+    any prose the standard is a text that repeats no term.
     """
     full = blocks.drop("terms", "freqs").join(fits, "block", "left").withColumn("bin", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
     full = materialize(full, "page-fits")
-    sentences = full.filter((F.col("shape") == PROSE) & F.col("level").isNotNull())
+    sentences = full.filter(F.col("shape").isin(PROSE, VERSE) & F.col("level").isNotNull())
     first = sentences.groupBy("bin").agg(F.percentile_approx("tail", 0.5, 1000).alias("usual"))
-    prose = materialize(sentences.join(F.broadcast(first), "bin").filter(F.col("tail") > TAIL_PART * F.col("usual")).select("near", "bin", *MEASURES), "page-prose")
+    prose = materialize(sentences.join(F.broadcast(first), "bin").filter(F.col("tail") > VERSE_TAIL_PART * F.col("usual")).select("near", "bin", *MEASURES), "page-prose")
     longest = prose.agg(F.max("bin").alias("b")).first()["b"]
     keyed = full.withColumn("bin", F.least("bin", F.lit(longest)))
     own = _middles(prose, ["near", "bin"]).filter(F.col("blocks") >= LEAST_BLOCKS)
     every = _middles(prose, ["bin"])
     off = keyed.join(F.broadcast(own), ["near", "bin"], "left").join(F.broadcast(every.select("bin", *(F.col(f"{m}_q").alias(f"{m}_all") for m in MEASURES))), "bin", "left")
     for m in MEASURES:
-        q = F.coalesce(f"{m}_q", f"{m}_all")
-        low, middle, high = (F.try_element_at(q, F.lit(k)) for k in (1, 2, 3))
+        q = F.coalesce(f"{m}_q", f"{m}_all", F.array(F.lit(1.0 if m == "tail" else 0.0)))
+        low, middle, high = (F.coalesce(F.try_element_at(q, F.lit(k)), q[0]) for k in (1, 2, 3))
         off = off.withColumn(f"{m}_off", (F.col(m) - middle) / (F.greatest(high - low, F.lit(0.05)) / 1.349))
         if m == "tail":
             off = off.withColumn("tail_part", F.col("tail") / F.greatest(middle, F.lit(1e-9)))
@@ -235,19 +256,22 @@ def judged(blocks: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def spam_block() -> Column:
-    """Whether a block is spam: off the curves of prose, and of a kind that makes it so.
-
-    Links, tags, codes, lists and short entries line by line need only lie
-    outside the middle of prose (LISTED spreads; blocks too short for a sure
-    curve count by their shape). Sentences need a level EXTREME spreads above
-    it and a tail below TAIL_PART (LONG_TAIL_PART) of its. Repeated keyword lines
-    are spam by their repetition, however few terms they leave.
+    """Whether a block is spam: off the curves of prose as far as its kind must be.
+
+    Links, tags, codes, lists and short entries line by line are spam if any
+    measure is LISTED spreads off. Sentences need a level SENTENCES spreads above prose
+    and a tail below TAIL_PART of its, and either a clear tail or terms in
+    EXCESS of prose of which one occurs TOP times; verse, whose refrains raise
+    its curve, needs VERSES spreads and VERSE_TAIL_PART. Repeated keyword lines
+    are spam by their repetition, however few terms they leave. Blocks of
+    fewer than LEAST_TERMS terms have no curve and are none.
     """
-    outside = F.coalesce(F.col("widest") > LISTED, F.lit(True)) | (F.col("n") < 2 * LEAST_TERMS)
-    listed = F.col("shape").isin(LINKS, TAGS, CODES, LIST)
-    entries = (F.col("shape") == SHORT) & (F.col("line_words") <= 4.5) & (F.col("n") >= LEAST_TERMS)
-    repeated = (F.col("shape") == PROSE) & (F.col("level_off") > EXTREME) & (F.col("tail_part") < F.when(F.col("n") < LONG, TAIL_PART).otherwise(LONG_TAIL_PART))
-    return F.coalesce(((listed | entries) & outside) | repeated | (F.col("shape") == REPEATED), F.lit(False))
+    shape, outside = F.col("shape"), F.col("widest") > LISTED
+    entries = (shape == SHORT) & (F.col("line_words") <= 4.5)
+    proof = ((F.col("level_off") > EXTREME) & (F.col("tail_part") < CLEAR_TAIL_PART)) | (F.col("excess") > EXCESS) & (F.col("top") >= TOP)
+    sentences = (shape == PROSE) & (F.col("level_off") > SENTENCES) & (F.col("tail_part") < TAIL_PART) & proof
+    verse = (shape == VERSE) & (F.col("level_off") > VERSES) & (F.col("tail_part") < VERSE_TAIL_PART)
+    return F.coalesce((shape.isin(*_LISTED) | entries) & outside, F.lit(False)) | F.coalesce(sentences | verse, F.lit(False)) | (shape == REPEATED)
 
 
 def page_scores(documents: DataFrame) -> DataFrame:

@@ -72,6 +72,25 @@ def test_blocks_drop_refrains_from_the_curve():
     assert kind == pagespam.SHORT and chars == 50 and terms.count("notte") == 1
 
 
+def test_a_term_counts_once_for_each_word_before_it():
+    (_, _, _, terms),  = pagespam.blocks_of("Does anyone know whether Melor was released? Does anyone know whether Macre was released?")
+    assert terms.count("know") == 1 and terms.count("does") == 2 and terms.count("was") == 2 and terms.count("released") == 1
+    (kind, _, _, terms),  = pagespam.blocks_of("https://one.example/a\nhttps://one.example/a\nhttps://one.example/a")
+    assert kind == pagespam.LINKS and terms.count("example") == 3
+    (kind, _, _, _),  = pagespam.blocks_of("we were waiting here all night long\nand no one came to see us\n" * 2 + "only the rain")
+    assert kind == pagespam.VERSE
+
+
+def test_short_stuffed_sentences_and_stock_ones(spark):
+    rows, _, _ = pages()
+    stuffed_ones = {
+        500: "If you are looking for deals sheet music and music streaming luxury, our deals sheet music is the today moving boxes you need. This is the place for near me music streaming, for deals sheet music and for more best loft. Why near me music streaming? Because deals mp3 and deals sheet music make the best loft of your dreams.",
+    }
+    stock = {501: "Does anyone know whether Timiminto can still be found? Many thanks. Does anyone know whether Forterselstro can still be found? Many thanks. Does anyone know whether Neltusia came out on vinyl? Many thanks."}
+    df = spark.createDataFrame([(i, t, "en") for i, t in [*rows, *stuffed_ones.items(), *stock.items()]], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in pagespam.spam_pages(df).collect()} == {500}
+
+
 def test_empty_and_one_page(spark):
     schema = "doc_id bigint, text string, lang string"
     assert pagespam.spam_pages(spark.createDataFrame([], schema)).collect() == []
@@ -80,11 +99,11 @@ def test_empty_and_one_page(spark):
 
 
 def test_residual_of_the_fit(spark):
-    text = "one one one one one two two two three four five six seven eight nine ten ten eleven."
+    text = "one a one b one c one d two e two f two g h i j k l m, one."
     blocks = pagespam.page_blocks(spark.createDataFrame([(1, text, "en"), (2, "a b c d e f g h i j.", "en")], "doc_id bigint, text string, lang string"))
     got = [r["residual"] for r in pagespam.curves(blocks, {}).orderBy("block").collect()]
-    y = np.log([5, 3, 2] + [1] * 8)
-    x = np.log(np.arange(1, 12))
+    y = np.log([5, 3] + [1] * 13)
+    x = np.log(np.arange(1, 16))
     assert np.isclose(got[0], np.sqrt(np.mean((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2))) and np.isclose(got[1], 0)
 
 

@@ -13,8 +13,8 @@ and comparable length (powers of two). How far off a block must lie depends on
 its shape, and a page is found if such blocks cover more than half of its
 characters.
 
-But in lists a term counts once in its block's curve for each different word
-before it, so refrains and stock sentences, which bring the same words in the
+In sentences and verse a term counts once in its block's curve for each
+different word before it (in short lines: within a line, equal lines once), so refrains and stock sentences, which bring the same words in the
 same order, do not look like keywords, which recur in ever new places. Verse,
 long lines without sentence marks, must lie much farther off. Few lines without
 function words that make up a block by recurring over and over are spam
@@ -113,8 +113,14 @@ def keywords_repeated(lines: list[str]) -> bool:
     return 2 * sum(_FUNCTION.isdisjoint(_TERM.findall(x)) for x in distinct) > len(distinct)
 
 
+def _placed(text: str) -> list[str]:
+    """The terms, each once for every different term before it."""
+    terms = _TERM.findall(text)
+    return [b for _, b in dict.fromkeys(zip(["", *terms], terms))]
+
+
 def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
-    """(shape, characters, mean words a line, terms) of each block of a page; but in lists a term counts once for each different word before it."""
+    """(shape, characters, mean words a line, terms) of each block of a page; in sentences a term counts once for each different word before it."""
     runs: list[tuple[str, list[str]]] = []
     for line in _BREAK.split(text or ""):
         if line := line.strip():
@@ -135,9 +141,12 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
             kind = REPEATED
         elif kind == PROSE and len(lines) >= VERSE_LINES and sum(_SENTENCE.search(x) is not None for x in lines) <= 0.2 * len(lines):
             kind = VERSE
-        terms = _TERM.findall("\n".join(lower))
-        if kind not in _LISTED:
-            terms = [b for _, b in dict.fromkeys(zip(["", *terms], terms))]
+        if kind in _LISTED:
+            terms = _TERM.findall("\n".join(lower))
+        elif kind == SHORT:  # entries are what recurs in a list of keywords, so only equal lines count once
+            terms = [b for x in dict.fromkeys(lower) for b in _placed(x)]
+        else:
+            terms = _placed("\n".join(lower))
         out.append((kind, sum(map(len, lines)), sum(x.count(" ") + 1 for x in lines) / len(lines), terms))
     return out
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -151,16 +152,19 @@ def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
     return out
 
 
-_BLOCKS = "page bigint, doc_id bigint, shape string, chars bigint, page_chars bigint, line_words double, lang string, terms array<string>, freqs array<int>, n int"
+_BLOCKS = "page bigint, doc_id bigint, shape string, chars bigint, page_chars bigint, line_words double, lang string, terms array<string>, freqs array<int>, steps array<int>, widths array<int>, n int"
 
 
 def page_blocks(documents: DataFrame) -> DataFrame:
-    """One row per block with its terms and their frequencies; page numbers the rows of documents, block the rows of the result."""
+    """One row per block with its terms and their frequencies, and the steps of its curve: each frequency and how many terms have it.
+
+    page numbers the rows of documents, block the rows of the result.
+    """
     names = [c.split()[0] for c in _BLOCKS.split(", ")]
 
     def cut(batches):
         for batch in batches:
-            rows, terms, freqs, ends = [], [], [], [0]
+            rows, terms, freqs, ends, steps, widths, ends_of_steps = [], [], [], [0], [], [], [0]
             for page, doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("page", "doc_id", "lang", "text"))):
                 found = blocks_of(text)
                 total = sum(b[1] for b in found)
@@ -170,10 +174,14 @@ def page_blocks(documents: DataFrame) -> DataFrame:
                         counts = Counter(mine)
                         terms += counts
                         freqs += counts.values()
+                        equal = Counter(counts.values())
+                        steps += equal
+                        widths += equal.values()
                     ends.append(len(terms))
+                    ends_of_steps.append(len(steps))
             plain = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32()))]
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(freqs, pa.int32()))]
+            offsets, few = pa.array(ends, pa.int32()), pa.array(ends_of_steps, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), *(pa.ListArray.from_arrays(o, pa.array(x, pa.int32())) for o, x in ((offsets, freqs), (few, steps), (few, widths)))]
             yield pa.RecordBatch.from_arrays([*plain[:7], *lists, plain[7]], names=names)
 
     pages = documents.filter("doc_id IS NOT NULL AND length(text) > 0")
@@ -195,6 +203,23 @@ def prose_terms(blocks: DataFrame, common: int = COMMON) -> dict[str, list[tuple
     return top
 
 
+#: Sums of the logarithms of 1 to n and of their squares, for small n; beyond by the Euler-Maclaurin formula.
+_SUMS = {p: np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 65)) ** p)]) for p in (1, 2)}
+
+
+def _beyond(n, p: int, log):
+    """The formula without its constant, for numbers or columns."""
+    x = log(n)
+    return n * x - n + x / 2 + 1 / (12 * n) if p == 1 else n * (x * x - 2 * x + 2) + x * x / 2 + x / (6 * n)
+
+
+def log_sum(n: Column, p: int) -> Column:
+    """The sum over j from 1 to n of the natural logarithm of j to the power of p, 1 or 2."""
+    large = F.greatest(n, F.lit(64)).cast("double")
+    constant = float(_SUMS[p][64] - _beyond(64.0, p, np.log))
+    return F.when(n <= 64, F.array(*(F.lit(float(v)) for v in _SUMS[p]))[F.least(n, F.lit(64)).cast("int")]).otherwise(_beyond(large, p, F.log) + constant)
+
+
 def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) -> DataFrame:
     """(block, slope, level, tail, residual, top, divergence, excess, near): the curve of each block of LEAST_TERMS terms or more.
 
@@ -209,11 +234,22 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
             shares.setdefault(term, [None] * len(languages))[k] = q
     known = spark.createDataFrame(list(shares.items()), "term string, q array<double>")  # at most COMMON rows a language
     curved = blocks.filter(F.col("n") >= LEAST_TERMS)
-    # the curve needs the frequencies alone: eight-byte rows go through the one shuffle
-    ranked = curved.select("block", F.explode("freqs").alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("f"))))
-    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("f").cast("double"))
-    off_line = F.sqrt(F.greatest(F.regr_syy(y, x) * (1 - F.regr_r2(y, x)), F.lit(0.0)) / F.count(F.lit(1)))
-    fits = ranked.groupBy("block").agg(F.regr_slope(y, x).alias("slope"), F.coalesce(off_line, F.lit(0.0)).alias("residual"), F.avg(y).alias("level"), (F.sum((F.col("f") == 1).cast("int")) / F.sum("f")).alias("tail"), F.max("f").alias("top"), (1 - F.count(F.lit(1)) / F.sum("f")).alias("repeats"))
+    # the curve needs its steps alone: terms of equal frequency hold consecutive ranks, whose logarithms are summed at once
+    steps = curved.select("block", F.explode(F.arrays_zip("steps", "widths")).alias("t")).select("block", F.col("t.steps").alias("f"), F.col("t.widths").alias("m"))
+    higher = F.sum("m").over(Window.partitionBy("block").orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = steps.withColumn("above", F.coalesce(higher, F.lit(0)))
+    first, last, y = F.col("above"), F.col("above") + F.col("m"), F.log(F.col("f").cast("double"))
+    x, xx = (log_sum(last, power) - log_sum(first, power) for power in (1, 2))
+    once = F.sum(F.when(F.col("f") == 1, F.col("m")).otherwise(0))
+    total = ranked.groupBy("block").agg(
+        F.sum("m").alias("terms"), F.sum(F.col("m") * F.col("f")).alias("all"), F.max("f").alias("top"), once.alias("once"),
+        F.sum(x).alias("x"), F.sum(xx).alias("xx"), F.sum(F.col("m") * y).alias("y"), F.sum(F.col("m") * y * y).alias("yy"), F.sum(x * y).alias("xy"),
+    )
+    k = F.col("terms")
+    vx, vy, cov = (F.expr(f"{a}{b} - {a} * {b} / terms") for a, b in ("xx", "yy", "xy"))
+    slope = F.when(k > 1, cov / vx).otherwise(0.0)
+    off_line = F.sqrt(F.greatest(vy - slope * cov, F.lit(0.0)) / k)
+    fits = total.select("block", slope.alias("slope"), off_line.alias("residual"), (F.col("y") / k).alias("level"), (F.col("once") / F.col("all")).alias("tail"), "top", (1 - k / F.col("all")).alias("repeats"))
     # a block's terms lie in one task, so its divergence sums are whole before their shuffle
     met = curved.select("block", "n", F.explode(F.arrays_zip("terms", "freqs")).alias("t")).select("block", "n", F.col("t.freqs").alias("f"), (F.col("t.freqs") / F.col("n")).alias("p"), F.col("t.terms").alias("term")).join(F.broadcast(known), "term")
     sums = []
@@ -227,7 +263,7 @@ def curves(blocks: DataFrame, reference: dict[str, list[tuple[str, float]]]) ->
         rest = max(1e-3, 1 - sum(q for _, q in reference[language]))
         options.append(F.struct((F.coalesce(f"d{k}", F.lit(0.0)) + other * F.log(other / rest)).alias("divergence"), F.lit(language).alias("near"), (F.col("repeats") - F.coalesce(f"e{k}", F.lit(0.0))).alias("excess")))
     best = F.array_min(F.array(*options)) if options else F.struct(F.lit(0.0).alias("divergence"), F.lit(None).cast("string").alias("near"), F.col("repeats").alias("excess"))
-    return joined.withColumn("best", best).select("block", F.coalesce("slope", F.lit(0.0)).alias("slope"), "level", "tail", "residual", "top", "best.divergence", "best.excess", "best.near")
+    return joined.withColumn("best", best).select("block", "slope", "level", "tail", "residual", "top", "best.divergence", "best.excess", "best.near")
 
 
 def _middles(prose: DataFrame, by: list[str]) -> DataFrame:
@@ -244,7 +280,7 @@ def judged(blocks: DataFrame, fits: DataFrame) -> DataFrame:
     languages; a length beyond all prose against the longest there is. Without
     any prose the standard is a text that repeats no term.
     """
-    full = blocks.drop("terms", "freqs").join(fits, "block", "left").withColumn("bin", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
+    full = blocks.drop("terms", "freqs", "steps", "widths").join(fits, "block", "left").withColumn("bin", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
     full = materialize(full, "page-fits")
     sentences = full.filter(F.col("shape").isin(PROSE, VERSE) & F.col("level").isNotNull())
     first = sentences.groupBy("bin").agg(F.percentile_approx("tail", 0.5, 1000).alias("usual"))

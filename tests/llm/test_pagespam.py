@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodeworks.llm import pagespam
 
@@ -98,13 +99,23 @@ def test_empty_and_one_page(spark):
     assert [r[0] for r in pagespam.spam_pages(one).collect()] == [1]
 
 
+def test_sums_of_logarithms(spark):
+    df = spark.range(0, 3000).select("id", *(pagespam.log_sum(F.col("id"), p).alias(f"s{p}") for p in (1, 2)))
+    rows = df.orderBy("id").collect()
+    for p in (1, 2):
+        want = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 3000)) ** p)])
+        assert np.allclose([r[f"s{p}"] for r in rows], want, rtol=1e-9, atol=1e-6)
+
+
 def test_residual_of_the_fit(spark):
     text = "one a one b one c one d two e two f two g h i j k l m, one."
     blocks = pagespam.page_blocks(spark.createDataFrame([(1, text, "en"), (2, "a b c d e f g h i j.", "en")], "doc_id bigint, text string, lang string"))
-    got = [r["residual"] for r in pagespam.curves(blocks, {}).orderBy("block").collect()]
+    rows = pagespam.curves(blocks, {}).orderBy("block").collect()
+    got = [r["residual"] for r in rows]
     y = np.log([5, 3] + [1] * 13)
     x = np.log(np.arange(1, 16))
     assert np.isclose(got[0], np.sqrt(np.mean((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2))) and np.isclose(got[1], 0)
+    assert np.isclose(rows[0]["slope"], np.polyfit(x, y, 1)[0]) and np.isclose(rows[0]["level"], y.mean()) and rows[0]["tail"] == 13 / 21 and rows[0]["top"] == 5
 
 
 def test_few_lines_repeated_throughout(spark):

@@ -301,14 +301,17 @@ def similar_pairs(df: DataFrame, key: str, text: str, shingle: int, threshold: f
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each connected set of (a, b) edges, by alternating star contractions.
 
-    Every step is a join-free aggregation over the edges, written to the
-    shared folder, so no set is gathered in the driver; the number of steps
-    grows with the logarithm of the longest chain.
+    Every step aggregates the edges by node and is written to the shared
+    folder, so no set is gathered in the driver or in one task; the number of
+    steps grows with the logarithm of the longest chain.
     """
     edges = materialize(edges.select("a", "b"), "components")
     while True:
-        large = _star(edges, large=True)
-        small = materialize(_star(large, large=False).distinct(), "components")
+        large, one = _star(edges, large=True)
+        large = materialize(large, "components-large")
+        small, two = _star(large, large=False)
+        small = materialize(small.distinct(), "components")
+        release(large, one, two)
         changed = not small.join(edges, ["a", "b"], "left_anti").isEmpty() or not edges.join(small, ["a", "b"], "left_anti").isEmpty()
         release(edges)
         edges = small
@@ -318,16 +321,17 @@ def components(edges: DataFrame) -> DataFrame:
     return flat.unionByName(flat.select(F.col("root").alias("id"), "root")).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: neighbours of each node are linked to the smallest of them and the node itself; a node of many edges is no burden."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One contraction, and the table it reads: neighbours of each node are linked to the smallest of them and the node itself; a node of many edges is no burden."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.filter("v < u")
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "components-least")
     linked = with_sizes(both, least, ["u"], "n", 2 * edges.count())
     if large:
-        return linked.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
-    return linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a < b")
+        return linked.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct(), least
+    linked = linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a < b")
+    return linked, least
 
 
 def classes(df: DataFrame, key: str, text: str, shingle: int, threshold: float, min_chars: int, words: bool = False) -> DataFrame:

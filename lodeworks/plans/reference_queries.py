@@ -284,8 +284,13 @@ def _songs(spark, sf_dir):
     return songs.cleaned(table(spark, sf_dir, "lyrics"))
 
 
-def _balanced(spark, sf_dir):
-    return songs.song_tokens(songs.balanced(_songs(spark, sf_dir)))
+def _of_classes(spark, sf_dir):
+    """All cleaned songs of the classes; only balanced_head takes the first of each class."""
+    return _songs(spark, sf_dir).filter(F.col("genre").isin(*songs.CLASSES))
+
+
+def _worded(spark, sf_dir):
+    return songs.song_tokens(_of_classes(spark, sf_dir))
 
 
 def clean_text(spark, sf_dir):
@@ -301,7 +306,7 @@ def balanced_head(spark, sf_dir):
 
 
 def song_words(spark, sf_dir):
-    rows = _balanced(spark, sf_dir)
+    rows = _worded(spark, sf_dir)
     return rows.select("idx", F.array_join(F.array_sort("tokens"), " ").alias("words"))
 
 
@@ -310,15 +315,15 @@ def split_counts(spark, sf_dir):
 
 
 def word_class_presence(spark, sf_dir):
-    return songs.word_class_presence(_balanced(spark, sf_dir))
+    return songs.word_class_presence(_worded(spark, sf_dir))
 
 
 def vocab_index(spark, sf_dir):
-    return songs.vocabulary(_balanced(spark, sf_dir))
+    return songs.vocabulary(_worded(spark, sf_dir))
 
 
 def encode_pad(spark, sf_dir):
-    rows = songs.song_tokens(songs.balanced(_songs(spark, sf_dir)), distinct=False)
+    rows = songs.song_tokens(_of_classes(spark, sf_dir), distinct=False)
     ids = songs.encoded(rows, songs.vocabulary(rows))
     return ids.select("idx", F.array_join("ids", " ").alias("ids"))
 
@@ -328,7 +333,7 @@ def label_index(spark, sf_dir):
 
 
 def long_items(spark, sf_dir):
-    rows = songs.song_tokens(songs.balanced(_songs(spark, sf_dir)), distinct=False)
+    rows = songs.song_tokens(_of_classes(spark, sf_dir), distinct=False)
     return songs.long_items(rows).select("idx", *(F.array_join(c, " ").alias(c) for c in ("tokens", "mask", "segments")))
 
 
@@ -337,11 +342,11 @@ SUBWORDS = os.environ.get("LODEWORKS_SUBWORDS", "/opt/tokenizers/word_bpe_49k.js
 
 
 def multi_hot(spark, sf_dir):
-    return songs.multi_hot(_balanced(spark, sf_dir)).select("word_id", "word", F.array_join("hot", " ").alias("hot"))
+    return songs.multi_hot(_worded(spark, sf_dir)).select("word_id", "word", F.array_join("hot", " ").alias("hot"))
 
 
 def subword_items(spark, sf_dir):
-    items = songs.subword_items(songs.balanced(_songs(spark, sf_dir)), SUBWORDS)
+    items = songs.subword_items(_of_classes(spark, sf_dir), SUBWORDS)
     return items.select("idx", *(F.array_join(c, " ").alias(c) for c in ("ids", "mask", "segments")))
 
 
@@ -369,7 +374,7 @@ def csv_songs(spark, sf_dir):
 
 def model_checkpoint(spark, sf_dir):
     """The test songs' classes by the classifier that was best on the dev split, stored and loaded again."""
-    rows = materialize(_balanced(spark, sf_dir), "balanced")
+    rows = materialize(_worded(spark, sf_dir), "songs")
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     model = songs.best_classifier(rows, path)
     keep(spark, path)
@@ -396,14 +401,14 @@ def micro_metrics(spark, sf_dir):
 
 
 def word2vec(spark, sf_dir):
-    vectors = songs.word_vectors(_balanced(spark, sf_dir)).getVectors()
+    vectors = songs.word_vectors(_worded(spark, sf_dir)).getVectors()
     from pyspark.ml.functions import vector_to_array
 
     return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
 def classifier_eval(spark, sf_dir):
-    rows = materialize(_balanced(spark, sf_dir), "balanced")
+    rows = materialize(_worded(spark, sf_dir), "songs")
     return songs.class_metrics(songs.confusion(songs.baseline_classifier(rows)))
 
 
@@ -475,9 +480,8 @@ final AS (SELECT vec_id, arg_min(cluster, (list_distance(p.v, center) ** 2, clus
 _CELLS = _ASSIGNED + ", cells AS (SELECT label, predicted, count(*) AS n FROM assigned GROUP BY ALL)"
 _SONGS = """songs AS (SELECT DISTINCT idx, genre, replace(replace(replace(trim(trim(lower(coalesce(lyrics, 'nan')), '[]'), '()'), 'chorus', ''), 'verse', ''), 'intro', '') AS text FROM lyrics),
 cleaned AS (SELECT * FROM songs WHERE length(text) > 10)"""
-_HEAD = _SONGS + f""", balanced AS (SELECT idx, genre, text FROM cleaned WHERE list_contains({_listed(songs.CLASSES)}, genre)
-    QUALIFY row_number() OVER (PARTITION BY genre ORDER BY idx, text) <= {songs.PER_CLASS}),
-worded AS (SELECT idx, genre, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains({_listed(ENGLISH)}, w)) AS tokens FROM balanced),
+_HEAD = _SONGS + f""", chosen AS (SELECT idx, genre, text FROM cleaned WHERE list_contains({_listed(songs.CLASSES)}, genre)),
+worded AS (SELECT idx, genre, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains({_listed(ENGLISH)}, w)) AS tokens FROM chosen),
 words AS (SELECT idx, genre, unnest(list_distinct(tokens)) AS word FROM worded),
 vocabulary AS (SELECT word, df, row_number() OVER (ORDER BY df DESC, word) - 1 AS word_id FROM (SELECT word, count(*) AS df FROM words GROUP BY ALL))"""
 
@@ -535,7 +539,7 @@ SQL = {
         FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS found, sum(n) OVER (PARTITION BY label) AS known FROM cells) GROUP BY label""",
     "clean_text": f"WITH {_SONGS} SELECT * FROM cleaned",
     "class_counts": f"WITH {_SONGS} SELECT genre, count(*) AS songs FROM cleaned GROUP BY ALL",
-    "balanced_head": f"WITH {_HEAD} SELECT genre, idx FROM balanced",
+    "balanced_head": f"""WITH {_HEAD} SELECT genre, idx FROM chosen QUALIFY row_number() OVER (PARTITION BY genre ORDER BY idx, text) <= {songs.PER_CLASS}""",
     "song_words": f"WITH {_HEAD} SELECT idx, array_to_string(list_sort(list_distinct(tokens)), ' ') AS words FROM worded",
     "split_counts": f"""WITH {_SONGS}, buckets AS (SELECT ('0x' || left(md5(idx::VARCHAR), 4))::INT % 100 AS b FROM cleaned)
         SELECT CASE WHEN b < 81 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS part, count(*) AS songs FROM buckets GROUP BY ALL""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,6 +134,57 @@ def multi_hot(rows: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     return vocabulary(rows).join(presence.select("word", hot.alias("hot")), "word").select("word_id", "word", "hot")
 
 
+def filter_features(rows: DataFrame, vectors: DataFrame, length: int = LENGTH, filters: int = 48, widths: tuple[int, ...] = (3, 4, 5), seed: int = 1) -> DataFrame:
+    """(idx, genre, features): each song's first `length` words as vectors, under convolution filters of several widths, the greatest response of each.
+
+    vectors: (word, df, vector); words without one are zero. The filters are
+    drawn once from the seed and stay as they are; the layers above them are
+    trained. idx should be unique.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    known = materialize(vectors.select("word", "df", F.col("vector").cast("array<float>").alias("vector")), "word-rows")
+    first = known.select(F.size("vector").alias("d")).first()
+    d, total = (first["d"] if first else 1), known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    head = rows.select("idx", "genre", F.posexplode_outer(F.slice("tokens", 1, length)).alias("place", "word"))
+    met = with_sizes(head, known, ["word"], "df", total, "left").filter("vector IS NOT NULL").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("place", "vector"))).alias("s"))  # at most `length` a song
+    rng = np.random.default_rng(seed)
+    kernels = [rng.normal(size=(w * d, filters)).astype(np.float32) / np.sqrt(w * d) for w in widths]
+
+    @F.pandas_udf("array<double>")
+    def pooled(places: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for at, words in zip(places, found):
+            x = np.zeros((length, d), dtype=np.float32)
+            if at is not None and len(at):
+                x[np.asarray(at)] = np.stack(list(words))
+            parts = []
+            for w, kernel in zip(widths, kernels):
+                windows = np.lib.stride_tricks.sliding_window_view(x, w, axis=0).transpose(0, 2, 1).reshape(-1, w * d)
+                parts.append(np.maximum(windows @ kernel, 0).max(axis=0))
+            out.append(np.concatenate(parts).astype(np.float64))
+        return pd.Series(out)
+
+    songs = rows.select("idx", "genre").join(met, "idx", "left")
+    features = pooled(F.transform("s", lambda x: x["place"]), F.transform("s", lambda x: x["vector"]))
+    return songs.select("idx", "genre", array_to_vector(features).alias("features"))
+
+
+def network_classifier(features: DataFrame, hidden: int = 32, passes: int = 80, seed: int = 1) -> DataFrame:
+    """(idx, label, predicted) of the test split by a network of one hidden layer over (idx, genre, features), trained on the train split."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    labels = materialize(label_ids(features, "genre"), "labels")
+    parts = materialize(features.join(labels, features["genre"] == labels["label"]).select("idx", "genre", "features", "label_id", split(F.col("idx")).alias("part")), "network-parts")
+    first = parts.select("features").first()
+    if first is None:
+        return features.select("idx", F.col("genre").alias("label"), F.col("genre").alias("predicted")).limit(0)
+    layers = [len(first["features"]), hidden, labels.count()]
+    model = MultilayerPerceptronClassifier(layers=layers, maxIter=passes, seed=seed, labelCol="label_id").fit(parts.filter("part = 'train'"))
+    guessed = model.transform(parts.filter("part = 'test'")).select("idx", F.col("genre").alias("label"), F.col("prediction").cast("int").alias("label_id"))
+    return guessed.join(labels.select(F.col("label").alias("predicted"), "label_id"), "label_id").select("idx", "label", "predicted")
+
+
 def subword_items(songs: DataFrame, vocabulary_file: str, length: int = LENGTH, start: str = "<|startoftext|>", end: str = "<|endoftext|>") -> DataFrame:
     """(idx, ids, mask, segments) of (idx, text) songs for a sentence model: ids of start, the text's subwords and end.
 

@@ -372,6 +372,29 @@ def csv_songs(spark, sf_dir):
     return _read_again(spark, table(spark, sf_dir, "lyrics").select(*SONGS.names), write_csv, lambda p: read_csv(spark, p, SONGS, null=NULL))
 
 
+def _in_order(spark, sf_dir):
+    return materialize(songs.song_tokens(_of_classes(spark, sf_dir), distinct=False), "songs")
+
+
+def network_multi_hot(spark, sf_dir):
+    """Metrics of a network with convolution filters over the words' class presence."""
+    rows = _in_order(spark, sf_dir)
+    train = rows.filter(songs.split(F.col("idx")) == "train")  # presence is learnt from the train split
+    hot = songs.multi_hot(train).join(songs.vocabulary(train).select("word", "df"), "word")
+    features = songs.filter_features(rows, hot.select("word", "df", F.col("hot").alias("vector")))
+    return songs.class_metrics(songs.confusion(songs.network_classifier(features)))
+
+
+def network_word2vec(spark, sf_dir):
+    """Metrics of a network with convolution filters over word vectors."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _in_order(spark, sf_dir)
+    vectors = songs.word_vectors(rows, size=50).getVectors().select("word", vector_to_array("vector").alias("vector"))
+    features = songs.filter_features(rows, songs.vocabulary(rows).join(vectors, "word").select("word", "df", "vector"))
+    return songs.class_metrics(songs.confusion(songs.network_classifier(features)))
+
+
 def model_checkpoint(spark, sf_dir):
     """The test songs' classes by the classifier that was best on the dev split, stored and loaded again."""
     rows = materialize(_worded(spark, sf_dir), "songs")
@@ -420,7 +443,7 @@ QUERIES = {
         lsh_duplicates, jaccard_exact, lsh_recall, kmeans_assign, kmeans_step, kmeans, farthest_first, cluster_agreement, kmeans_agreement, svd_reduce,
         svd_singular_values, svd_reconstruct, svd_energy, svd_synthetic, synthetic_points, synthetic_raw, synthetic_labels, synthetic_agreement, ground_clusters,
         tsv_log, tsv_ads, csv_songs, clean_text, class_counts, balanced_head, song_words, split_counts, word_class_presence, vocab_index,
-        multi_hot, subword_items, encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval, model_checkpoint,
+        multi_hot, subword_items, encode_pad, label_index, long_items, confusion_matrix, class_metrics, micro_metrics, word2vec, classifier_eval, network_multi_hot, network_word2vec, model_checkpoint,
     )
 }
 

@@ -284,3 +284,17 @@ def test_subword_items(spark):
 def test_multi_hot(spark):
     rows = spark.createDataFrame([(1, "Rock", ["a", "b"]), (2, "Jazz", ["a"])], "idx int, genre string, tokens array<string>")
     assert [tuple(r) for r in songs.multi_hot(rows, ("Rock", "Jazz")).orderBy("word_id").collect()] == [(0, "a", [1, 1]), (1, "b", [1, 0])]
+
+
+def test_networks_learn_what_can_be_learnt(spark):
+    rng = np.random.default_rng(8)
+    words = {"Rock": ["guitar", "loud", "drum"], "Jazz": ["sax", "swing", "blue"], "Country": ["road", "truck", "farm"]}
+    rows = [(i, g, [str(w) for w in rng.choice([*words[g], "the", "and", "night"], 12)]) for i, g in enumerate(list(words) * 120)] + [(1000, "Rock", []), (1001, "Jazz", None)]
+    df = spark.createDataFrame(rows, "idx bigint, genre string, tokens array<string>")
+    hot = songs.multi_hot(df, tuple(words)).join(songs.vocabulary(df).select("word", "df"), "word")
+    features = songs.filter_features(df, hot.select("word", "df", F.col("hot").alias("vector")), length=20, filters=8)
+    assert features.count() == len(rows)
+    guessed = songs.network_classifier(features, hidden=8)
+    assert guessed.count() > 20 and guessed.filter("label = predicted").count() >= 0.7 * guessed.count()
+    empty = songs.filter_features(df.limit(0), hot.select("word", "df", F.col("hot").alias("vector")))
+    assert songs.network_classifier(empty).collect() == []

@@ -10,15 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.functions.hashing import MIX, mixed
 from lodeworks.session import materialize
 
 
 def synthetic_points(spark: SparkSession, k: int, n: int, d: int, seed: int = 1) -> DataFrame:
-    """(id, vector, label): k * n points, a one-hot part of k places for id mod k, then d normal values of deviation sqrt(1 / k)."""
-    ids = spark.range(k * n).withColumn("label", F.pmod("id", F.lit(k)).cast("int"))
-    hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
-    noise = F.array(*(F.randn(seed + j) * (1 / k) ** 0.5 for j in range(d)))
-    return ids.select("id", F.concat(hot, noise).alias("vector"), "label")
+    """(id, vector, label): k * n points, a one-hot part of k places for id mod k, then d normal values of deviation sqrt(1 / k).
+
+    Each value follows from the seed, the id and its place alone, so a task
+    run again, or another partitioning, gives the same points.
+    """
+
+    def points(batches):
+        places = np.arange(d, dtype=np.uint64)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            one = mixed(mixed(ids.astype(np.uint64)[:, None] + np.uint64(seed) * MIX) + places * MIX)
+            u, v = (one >> np.uint64(11)).astype(np.float64), (mixed(one + MIX) >> np.uint64(11)).astype(np.float64)
+            normal = np.sqrt(-2 * np.log((u + 1) / 2**53)) * np.cos(2 * np.pi * v / 2**53) * (1 / k) ** 0.5
+            hot = np.zeros((len(ids), k))
+            hot[np.arange(len(ids)), ids % k] = 1.0
+            yield pd.DataFrame({"id": ids, "vector": list(np.hstack([hot, normal])), "label": (ids % k).astype(np.int32)})
+
+    return spark.range(k * n).mapInPandas(points, "id bigint, vector array<double>, label int")
 
 
 def seeds(points: DataFrame, ids: list[int]) -> np.ndarray:
@@ -102,7 +116,7 @@ def kmeans(points: DataFrame, centers: np.ndarray, iterations: int = 10_000) ->
     """
     if not len(centers):
         return assign(points, centers), centers
-    before = None
+    points, before = materialize(points.select("id", "vector"), "kmeans-points"), None  # read once a pass
     for _ in range(iterations):
         new, changed = _pass(points, centers, before)
         if not changed:

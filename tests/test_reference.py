@@ -298,3 +298,13 @@ def test_networks_learn_what_can_be_learnt(spark):
     assert guessed.count() > 20 and guessed.filter("label = predicted").count() >= 0.7 * guessed.count()
     empty = songs.filter_features(df.limit(0), hot.select("word", "df", F.col("hot").alias("vector")))
     assert songs.network_classifier(empty).collect() == []
+
+
+def test_synthetic_points_are_normal_and_repeatable(spark):
+    rows = cluster.synthetic_points(spark, 5, 2000, 6).orderBy("id").collect()
+    again = cluster.synthetic_points(spark, 5, 2000, 6).repartition(7).orderBy("id").collect()
+    assert rows == again
+    x = np.array([r["vector"] for r in rows])
+    assert (x[:, :5].argmax(axis=1) == np.arange(10_000) % 5).all() and (x[:, :5].sum(axis=1) == 1).all()
+    z = x[:, 5:] * 5**0.5
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and np.abs(np.corrcoef(z.T) - np.eye(6)).max() < 0.05 and abs((z**4).mean() - 3) < 0.2

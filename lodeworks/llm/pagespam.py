@@ -61,7 +61,8 @@ REPEATS = 8
 SHARE = 0.5
 
 _BREAK = re.compile(r"\r\n|\r|\n")
-_TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_TERM, _MARK = regex.compile(r"[\p{L}\p{M}\p{N}]+"), regex.compile(r"\p{M}")
+_PLAIN_TERM = re.compile(r"[^\W_]+")  # the same in text without marks, for characters that both libraries know, and faster
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"]+|\b(?:[\w-]+\.)+[a-z]{2,}/[^\s<>\"]*", re.I | re.S)
 _TAG = re.compile(r"(?<!\w)#\w+")
 _CODE = re.compile(r"\b(?:cod|art|sku|ref|mod|item|code)\b\.? ?[a-z]{0,3}\d{2,}", re.I)
@@ -79,20 +80,20 @@ VERSE_LINES = 3
 _FUNCTION = frozenset(ENGLISH) | frozenset(ITALIAN)
 
 
-def shape(line: str) -> str:
-    """The shape of one line without white space at its ends."""
+def shape(line: str, sentence: bool | None = None) -> str:
+    """The shape of one line without white space at its ends; sentence says whether it holds a sentence mark, if that is known."""
     if "/" in line or "www." in line or "](" in line:
         if sum(len(m.group()) for m in _LINK.finditer(line)) >= 0.4 * len(line):
             return LINKS
     tags = _TAG.findall(line) if "#" in line else []
     if tags and sum(map(len, tags)) >= 0.5 * len(line):
         return TAGS
-    if _TRACK.match(line):
+    if ":" in line and _TRACK.match(line):
         return TRACKS
     words, codes = line.count(" ") + 1, len(_CODE.findall(line)) if _DIGITS.search(line) else 0
     if codes and words <= 10 * codes:
         return CODES
-    if not _SENTENCE.search(line):
+    if not (_SENTENCE.search(line) if sentence is None else sentence):
         label = _LABEL.match(line)
         listed = line[label.end() :] if label else line
         for delimiter, least in _DELIMITERS:
@@ -114,36 +115,45 @@ def keywords_repeated(lines: list[str]) -> bool:
     return 2 * sum(_FUNCTION.isdisjoint(_TERM.findall(x)) for x in distinct) > len(distinct)
 
 
+def terms_of(text: str) -> list[str]:
+    """The runs of letters, marks and digits."""
+    return (_TERM if _MARK.search(text) else _PLAIN_TERM).findall(text)
+
+
 def _placed(text: str) -> list[str]:
     """The terms, each once for every different term before it."""
-    terms = _TERM.findall(text)
+    terms = terms_of(text)
     return [b for _, b in dict.fromkeys(zip(["", *terms], terms))]
 
 
 def blocks_of(text: str | None) -> list[tuple[str, int, float, list[str]]]:
     """(shape, characters, mean words a line, terms) of each block of a page; in sentences a term counts once for each different word before it."""
-    runs: list[tuple[str, list[str]]] = []
+    runs: list[tuple[str, list[str], list[bool]]] = []
     for line in _BREAK.split(text or ""):
         if line := line.strip():
-            kind = shape(line)
-            sentence = kind == PROSE and _SENTENCE.search(line)
-            verse = kind in (SHORT, PROSE) and not sentence and runs and runs[-1][0] in (SHORT, PROSE) and not _SENTENCE.search(runs[-1][1][-1])
-            if verse:  # short and long lines in turn
-                runs[-1][1].append(line)
-                runs[-1] = (PROSE if kind == PROSE else runs[-1][0], runs[-1][1])
-            elif runs and runs[-1][0] == kind and kind not in (SHORT, PROSE):
-                runs[-1][1].append(line)
+            mark = _SENTENCE.search(line) is not None
+            kind = shape(line, mark)
+            last = runs[-1] if runs else None
+            plain = kind in (SHORT, PROSE)
+            if last and plain and not (kind == PROSE and mark) and last[0] in (SHORT, PROSE) and not last[2][-1]:  # short and long lines in turn
+                last[1].append(line)
+                last[2].append(mark)
+                if kind == PROSE != last[0]:
+                    runs[-1] = (PROSE, last[1], last[2])
+            elif last and last[0] == kind and not plain:
+                last[1].append(line)
+                last[2].append(mark)
             else:
-                runs.append((kind, [line]))
+                runs.append((kind, [line], [mark]))
     out = []
-    for kind, lines in runs:
+    for kind, lines, marks in runs:
         lower = [x.lower() for x in lines]
         if kind in (SHORT, PROSE) and keywords_repeated(lower):
             kind = REPEATED
-        elif kind == PROSE and len(lines) >= VERSE_LINES and sum(_SENTENCE.search(x) is not None for x in lines) <= 0.2 * len(lines):
+        elif kind == PROSE and len(lines) >= VERSE_LINES and sum(marks) <= 0.2 * len(lines):
             kind = VERSE
         if kind in _LISTED:
-            terms = _TERM.findall("\n".join(lower))
+            terms = terms_of("\n".join(lower))
         elif kind == SHORT:  # entries are what recurs in a list of keywords, so only equal lines count once
             terms = [b for x in dict.fromkeys(lower) for b in _placed(x)]
         else:

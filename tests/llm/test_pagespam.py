@@ -1,4 +1,7 @@
 import numpy as np
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeworks.llm import pagespam
@@ -99,6 +102,12 @@ def test_empty_and_one_page(spark):
     assert [r[0] for r in pagespam.spam_pages(one).collect()] == [1]
 
 
+@given(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=80))
+@settings(max_examples=500, deadline=None)
+def test_both_patterns_find_the_same_terms(text):
+    assert pagespam.terms_of(text) == regex.findall(r"[\p{L}\p{M}\p{N}]+", text)
+
+
 def test_sums_of_logarithms(spark):
     df = spark.range(0, 3000).select("id", *(pagespam.log_sum(F.col("id"), p).alias(f"s{p}") for p in (1, 2)))
     rows = df.orderBy("id").collect()

@@ -10,7 +10,7 @@
    meets block in tasks of bounded size that compare the sketches at once.
 4. The share of equal registers, corrected for chance collisions, estimates
    the similarity; pairs far below the threshold go.
-5. The rest is verified on the texts' shingle sets.
+5. The rest is verified on the texts' whole shingle sets, as 64-bit hashes.
 
 A pair of similarity 0.7 shares a band, and a longer band, with probability
 above 0.9998; no cap limits a bucket, a text's copies, its partners or the
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.hashing import MIX, char_shingles, in_chunks, mixed
+from lodeworks.functions.hashing import MIX, char_shingles, distinct, in_chunks, mixed
 from lodeworks.functions.text import normalised
 from lodeworks.operators.pairs import meet, pairs_within
 from lodeworks.operators.skew import with_sizes
@@ -171,27 +171,19 @@ def similar_representatives(texts: DataFrame, shingle: int, threshold: float, wo
     likely = materialize(pairs.join(left, "x").join(right, "y").mapInPandas(estimate, "x bigint, y bigint"), "neardup-candidates")
 
     def verify(batches):
-        sets: dict[str, set[str]] = {}  # a text of many partners is cut once
-        held = 0
-
-        def cut(key: str, text: str) -> set[str]:
-            nonlocal held
-            if (found := sets.get(key)) is None:
-                if held > 200_000:
-                    sets.clear()
-                    held = 0
-                found = sets[key] = shingle_set(text, shingle, words)
-                held += len(found)
-            return found
-
         for batch in batches:
-            found = []
-            for a, b, s, t in zip(batch["a"], batch["b"], batch["s"], batch["t"]):
-                one, two = cut(a, s), cut(b, t)
-                same = len(one & two)
-                if same and same >= threshold * (len(one) + len(two) - same) - 1e-9:
-                    found.append((*sorted((a, b)), same / (len(one) + len(two) - same)))
-            yield pd.DataFrame(found, columns=["a", "b", "similarity"])
+            for at, end in in_chunks((batch["s"] + batch["t"]).tolist(), 4_000_000):
+                part = batch.iloc[at:end]
+                texts = dict(zip(part["a"], part["s"])) | dict(zip(part["b"], part["t"]))  # a text of many partners is cut once
+                hashes, offsets = cutter(list(texts.values()), shingle)
+                sets = {key: distinct(hashes[i:j]) for key, i, j in zip(texts, offsets, offsets[1:])}
+                found = []
+                for a, b in zip(part["a"], part["b"]):
+                    one, two = sets[a], sets[b]
+                    same = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+                    if same and same >= threshold * (len(one) + len(two) - same) - 1e-9:
+                        found.append((*sorted((a, b)), same / (len(one) + len(two) - same)))
+                yield pd.DataFrame(found, columns=["a", "b", "similarity"])
 
     left = numbered.select(F.col("no").alias("x"), F.col("rep").alias("a"), F.col("norm").alias("s"))
     right = numbered.select(F.col("no").alias("y"), F.col("rep").alias("b"), F.col("norm").alias("t"))
@@ -237,13 +229,6 @@ def _candidates(keyed: DataFrame, numbered: DataFrame, cutoff: float, long: bool
     return pairs
 
 
-def shingle_set(text: str, k: int, words: bool = False) -> set[str]:
-    if words:
-        w = text.split(" ")
-        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
-    return {text[i : i + k] for i in range(len(text) - k + 1)}
-
-
 def _block_pairs(large: DataFrame, numbered: DataFrame, cutoff: float) -> DataFrame:
     """(x, y) of great buckets: blocks of about BLOCK texts meet two by two, each meeting one task's sketch comparison."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

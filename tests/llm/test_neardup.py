@@ -16,7 +16,7 @@ def ads(spark, rows):
 
 
 def truth(rows, threshold=0.7, k=10, least=80):
-    sets = sorted((key, nd.shingle_set(normalised(t), k)) for key, t in rows if key and len(normalised(t)) >= least)
+    sets = sorted((key, {x[i : i + k] for x in [normalised(t)] for i in range(len(x) - k + 1)}) for key, t in rows if key and len(normalised(t)) >= least)
     return {(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if len(x & y) >= threshold * len(x | y)}
 
 

@@ -11,12 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.session import materialize
+from lodeworks.session import materialize, stored_bytes
 
 #: Keys that the heavy-key sketch can report, and counters it keeps; its error is below rows / TRACKED.
 REPORTED, TRACKED = 200, 4000
 #: Keys that a join leaves in place: those with more than this part of all rows.
 HOT_KEYS = 1000
+#: Bytes of a stored (compressed) table of keys that is broadcast whole.
+SMALL_TABLE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -67,9 +69,13 @@ def with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], count: str, t
     total is the sum of count over all keys, or more. Keys of more than
     total / hot_keys rows are fewer than hot_keys whatever the data's size;
     they are broadcast and leave their rows in place, all others meet in a
-    hash join. An inner join leaves out null keys. sizes should be a stored
-    table, since both parts read it.
+    hash join. A table of sizes that takes up to SMALL_TABLE bytes where it is
+    stored is broadcast whole. An inner join leaves out null keys. sizes should
+    be a stored table, since both parts read it.
     """
+    held = stored_bytes(sizes)
+    if held is not None and held <= SMALL_TABLE:
+        return rows.join(F.broadcast(sizes), keys, how)
     bar = max(1, total // hot_keys)
     hot, cold = sizes.filter(F.col(count) > bar), sizes.filter(F.col(count) <= bar)
     if hot.isEmpty():

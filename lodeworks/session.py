@@ -95,6 +95,16 @@ def scope():
         del _written[before:]
 
 
+def stored_bytes(table: DataFrame) -> int | None:
+    """Bytes of a table of materialize() as it lies in the shared folder; None for any other."""
+    path = getattr(table, "_shared_path", None)
+    if path is None:
+        return None
+    context = table.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables of materialize() that no lazy result reads any more."""
     for table in tables:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import longer_than
+from lodeworks.operators import skew
 from lodeworks.operators.pairs import blocks_of_pairs, meet, pairs_within
 from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize, scope
@@ -27,7 +28,19 @@ def loads(df):
     return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
-def test_half_of_all_rows_in_one_key(spark):
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("small", [0, 4_000_000])
+def test_with_sizes_equals_a_join(spark, monkeypatch, how, small):
+    monkeypatch.setattr(skew, "SMALL_TABLE", small)
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), ("b", 2), ("c", 3), ("gone", 4), (None, 5)], "k string, id int")
+    sizes = materialize(spark.createDataFrame([("hot", 50), ("b", 2), ("c", 1), ("unused", 9)], "k string, n int"), "sizes")
+    for hot_keys in (1, 4, 1000):
+        got = with_sizes(rows, sizes, ["k"], "n", 62, how, hot_keys)
+        assert sorted(map(str, got.select("k", "id", "n").collect())) == sorted(map(str, rows.join(sizes, "k", how).select("k", "id", "n").collect()))
+
+
+def test_half_of_all_rows_in_one_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_TABLE", 0)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 19_999).cast("string"))).alias("k"), "id")

@@ -65,9 +65,9 @@ def term_graphs(fields: list[pa.Array], window: int) -> tuple[np.ndarray, pa.Arr
     return nodes // max(1, len(terms)), terms.take(pa.array(nodes % max(1, len(terms)))), np.bincount(node, minlength=len(nodes)), degree
 
 
-def record_terms(ads: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(link, terms, tfs, degrees): the distinct records with their terms, frequencies and degrees."""
-    names = ["link", "terms", "tfs", "degrees"]
+def record_terms(ads: DataFrame, window: int = WINDOW, local: str = "degree") -> DataFrame:
+    """(link, terms, counts): the distinct records with their terms and the degree, or with local="tf" the frequency, of each."""
+    names = ["link", "terms", "counts"]
 
     def graphs(batches):
         for batch in batches:
@@ -79,11 +79,11 @@ def record_terms(ads: DataFrame, window: int = WINDOW) -> DataFrame:
                 start = end + 1
                 record, terms, tf, degree = term_graphs([part.column(c) for c in ("titles", "descriptions")], window)
                 offsets = pa.array(np.searchsorted(record, np.arange(len(part) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms.cast(pa.string()), pa.array(tf, pa.int32()), pa.array(degree, pa.int32()))]
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms.cast(pa.string()), pa.array(degree if local == "degree" else tf, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column("links"), *lists], names=names)
 
     once = ads.select("links", "titles", "descriptions").distinct()
-    return once.mapInArrow(graphs, "link string, terms array<string>, tfs array<int>, degrees array<int>")
+    return once.mapInArrow(graphs, "link string, terms array<string>, counts array<int>")
 
 
 def term_weights(ads: DataFrame, window: int = WINDOW, local: str = "degree", min_df: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -93,11 +93,10 @@ def term_weights(ads: DataFrame, window: int = WINDOW, local: str = "degree", mi
     document frequencies in a join that leaves those of frequent terms in
     place.
     """
-    records = materialize(record_terms(ads, window).filter("size(terms) > 0").withColumn("record", F.monotonically_increasing_id()), "term-records")
+    records = materialize(record_terms(ads, window, local).filter("size(terms) > 0").withColumn("record", F.monotonically_increasing_id()), "term-records")
     n = records.count()
     df = materialize(records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df), "term-df")
-    counts = "degrees" if local == "degree" else "tfs"
-    postings = records.select("record", F.explode(F.arrays_zip("terms", counts)).alias("t")).select("record", F.col("t.terms").alias("term"), F.col(f"t.{counts}").alias(local))
+    postings = records.select("record", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("record", F.col("t.terms").alias("term"), F.col("t.counts").alias(local))
     total = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     count = F.greatest(F.col("degree"), F.lit(1)) if local == "degree" else F.col("tf")
     weight = F.round((1 + F.log10(count.cast("double"))) * (1 + F.log10(F.lit(float(n)) / F.col("df"))), 6)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from lodeworks.functions.text import normalised
 from lodeworks.functions.hashing import char_shingles
 from lodeworks.llm import neardup as nd
-from lodeworks.operators import pairs
+from lodeworks.operators import pairs, skew
 
 SCHEMA = "links string, descriptions string, id string, rep string"
 
@@ -77,7 +77,9 @@ def test_very_great_buckets_are_banded_anew(spark, monkeypatch):
     assert find(spark, rows) == truth(rows)
 
 
-def test_a_hub_of_components(spark):
+@pytest.mark.parametrize("small", [0, 4_000_000])
+def test_a_hub_of_components(spark, monkeypatch, small):
+    monkeypatch.setattr(skew, "SMALL_TABLE", small)
     edges = spark.createDataFrame([("a", f"n{i:05d}") for i in range(4000)] + [(f"n{i:05d}", f"z{i:05d}") for i in range(0, 4000, 7)], "a string, b string")
     got = nd.components(edges)
     assert got.filter("root = 'a'").count() == got.count() == 4001 + len(range(0, 4000, 7))

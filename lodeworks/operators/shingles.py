@@ -11,10 +11,12 @@ from hashlib import sha1
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.hashing import char_shingles, distinct, in_chunks
+from lodeworks.functions.hashing import char_shingles, in_chunks
 from lodeworks.operators.pairs import pairs_within
 from lodeworks.operators.skew import with_sizes
 from lodeworks.session import materialize, partitions_for
@@ -22,8 +24,15 @@ from lodeworks.session import materialize, partitions_for
 SHINGLE, HASHES, LEAST_EQUAL = 10, 10, 8
 #: Groups of hashes of which one at least is equal throughout if no more than HASHES - LEAST_EQUAL hashes differ.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))
-#: Counters of the sketch of how often shingles occur, in blocks that are summed apart; 4 MB in all.
-COUNTERS, COUNTER_BLOCKS = 1 << 20, 64
+#: Characters of a block of texts that the exact join holds at a time, of a chunk that is hashed at once, and texts of a stored file.
+BLOCK, CHUNK, FILE_ROWS = 24_000_000, 250_000, 4000
+#: Buckets that shingles fall on when rare ones are looked for, cells of a text's bitmap (both as powers of two), and meetings that are looked at together.
+BUCKET_BITS, BITMAP_BITS, MEETINGS = 22, 9, 500_000
+BUCKETS, BITMAP = 1 << BUCKET_BITS, 1 << BITMAP_BITS
+#: Shingle sets held while candidates are compared.
+HELD_SETS = 1000
+#: What fills up a row of hashes.
+PAD = np.uint64(2**64 - 1)
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -116,77 +125,166 @@ def later_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return with_sizes(members.select("key", "rep"), known, ["rep"], "copies", members.count()).filter("key > least").select("key")
 
 
-def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(key, s): the distinct shingles of each (key, text) as sorted 64-bit hashes."""
+def _hash_rows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sizes): the distinct shingle hashes of each text, in order and padded with PAD; texts should be of like length."""
+    hashes, offsets = char_shingles(texts, k)
+    counts = np.diff(offsets)
+    rows = np.full((len(texts), counts.max()), PAD)
+    rows[np.arange(rows.shape[1]) < counts[:, None]] = np.minimum(hashes, PAD - np.uint64(1))
+    rows.sort(axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = PAD
+    return rows, (rows != PAD).sum(axis=1)
 
-    def cut(batches):
-        for batch in batches:
-            keys, all_texts = batch.column("key"), batch.column("text").to_pylist()
-            for start, end in in_chunks(all_texts):
-                hashes, offsets = char_shingles(all_texts[start:end], k)
-                sets = [distinct(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([keys.slice(start, end - start), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "s"])
-
-    return _dealt(texts, k).mapInArrow(cut, "key string, s array<bigint>")
 
+def _bitmaps(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, BITMAP / 64): for each cell the parity of the shingles that fall on it, so two texts differ in no more cells than shingles."""
+    cells = (rows >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) + np.arange(len(rows))[:, None] * BITMAP
+    held = np.bincount(cells.ravel(), minlength=len(rows) * BITMAP).reshape(len(rows), BITMAP)
+    held[:, -1] -= rows.shape[1] - sizes  # what fills up the row
+    return np.packbits((held & 1).astype(np.uint8), axis=1).view(np.uint64)
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """Counters of how many texts hold a shingle, each for all shingles that fall on it: summed in blocks, of fixed size."""
-    width = COUNTERS // COUNTER_BLOCKS
 
-    def count(batches):
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(_counter(batch.column("s").flatten().to_numpy()), minlength=COUNTERS)
-        cut = total.reshape(COUNTER_BLOCKS, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([row.tobytes() for row in cut], pa.binary())], names=["block", "counts"])
+def _buckets(rows: np.ndarray) -> np.ndarray:
+    """The bucket of each shingle; BUCKETS for what fills up a row."""
+    buckets = (rows & np.uint64(BUCKETS - 1)).astype(np.uint32)
+    buckets[rows == PAD] = BUCKETS
+    return buckets
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [pdf["block"].iat[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    rows = sets.select("s").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    out = np.zeros((COUNTER_BLOCKS, width), dtype=np.int32)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["counts"], dtype=np.int32)
-    return out.ravel()
+class _Block:
+    """Texts by length, each known by its place; the held side of a meeting has an index of their rarest shingles.
 
+    There, shingles are told apart by the buckets they fall on, and ordered by
+    how many of the held texts' shingles fall there. Prefix filtering allows
+    both: texts that share s shingles share s bucket entries at least.
+    """
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+    def __init__(self, keys: list[str], texts: list[str], k: int, threshold: float):
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        self.keys, self.texts, self.k, self.threshold = [keys[i] for i in order], [texts[i] for i in order], k, threshold
+
+    def chunks(self):
+        """(first place, rows, sizes) of a few texts at a time."""
+        for start, end in in_chunks(self.texts, CHUNK):
+            yield start, *_hash_rows(self.texts[start:end], self.k)
+
+    def prefixes(self, buckets: np.ndarray, sizes: np.ndarray):
+        """(row, bucket, cap) of each text's rarest entries, of which a similar text shares one, and the largest size of a similar text that shares no rarer one."""
+        entries = self.ranked[buckets]
+        entries.sort(axis=1)
+        length = sizes - np.ceil(sizes * self.threshold - 1e-9).astype(np.int64) + 1
+        row, place = np.nonzero(np.arange(length.max()) < length[:, None])
+        cap = np.floor((sizes[row] - place + 1e-6) * ((1 + self.threshold) / self.threshold)) - sizes[row]
+        return row.astype(np.int32), entries[row, place] & np.uint32(BUCKETS - 1), cap.astype(np.int32)
+
+    def index(self) -> None:
+        often, sizes, maps, buckets = np.zeros(BUCKETS + 1, dtype=np.int64), [], [], []
+        for _, rows, n in self.chunks():
+            sizes.append(n.astype(np.int32))
+            maps.append(_bitmaps(rows, n))
+            buckets.append(_buckets(rows))
+        for i in range(0, len(buckets), 16):
+            often += np.bincount(np.concatenate([b.ravel() for b in buckets[i : i + 16]]), minlength=BUCKETS + 1)
+        self.ranked = (np.minimum(often, 2 ** (32 - BUCKET_BITS) - 2).astype(np.uint32) << np.uint32(BUCKET_BITS)) | np.arange(BUCKETS + 1, dtype=np.uint32)
+        self.ranked[BUCKETS] = 2**32 - 1
+        found, first = [], 0
+        for i, n in enumerate(sizes):
+            row, bucket, cap = self.prefixes(buckets[i], n)
+            found.append((row + np.int32(first), bucket, cap))
+            buckets[i], first = None, first + len(n)
+        text, bucket, cap = (np.concatenate([f[i] for f in found]) for i in range(3))
+        del found
+        order = np.argsort(bucket)
+        self.held, self.caps, self.sizes, self.maps = text[order], cap[order], np.concatenate(sizes), np.concatenate(maps)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+
+    def similar(self, other: _Block):
+        """(key, key, jaccard) of the similar pairs of a held text and one of the other block; of this block itself, each pair once."""
+        for first, rows, sizes in other.chunks():
+            row, bucket, cap = self.prefixes(_buckets(rows), sizes)
+            count = self.starts[bucket + 1] - self.starts[bucket]
+            maps = _bitmaps(rows, sizes)
+            met = np.concatenate([np.zeros(0, dtype=np.int64), *self._met(row[count > 0], bucket[count > 0], cap[count > 0], count[count > 0], sizes, maps, first if other is self else None)])
+            sets: dict[str, set[str]] = {}
+            for pair in np.unique(met).tolist():
+                if len(sets) > HELD_SETS:
+                    sets.clear()
+                y, x = divmod(pair, len(self.texts))
+                a, b = (sets.get(t) or sets.setdefault(t, {t[i : i + self.k] for i in range(len(t) - self.k + 1)}) for t in (self.texts[x], other.texts[first + y]))
+                shared = len(a & b)
+                if (jaccard := shared / (len(a) + len(b) - shared)) >= self.threshold:
+                    yield *sorted((self.keys[x], other.keys[first + y])), jaccard
+
+    def _met(self, row, bucket, cap, count, sizes, maps, own):
+        """Pairs, as row * texts + place, that meet in a bucket and that neither sizes, places nor bitmaps rule out; own: the place of row 0 if the block meets itself."""
+        ends = np.cumsum(count)
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, MEETINGS), side="left").tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(count)]):
+            if a == b:
+                continue
+            n = count[a:b]
+            entry = np.repeat(self.starts[bucket[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x = self.held[entry]
+            keep = (np.repeat(sizes[row[a:b]].astype(np.int32), n) <= self.caps[entry]) & (self.sizes[x] <= np.repeat(cap[a:b], n))
+            if own is not None:
+                keep &= x < np.repeat((row[a:b] + own).astype(np.int32), n)
+            x, y = x[keep], np.repeat(row[a:b], n)[keep]
+            total = self.sizes[x] + sizes[y]
+            differ = total - 2 * np.ceil(total * (self.threshold / (1 + self.threshold)) - 1e-6).astype(np.int64)
+            keep = np.bitwise_count(self.maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64) <= differ
+            yield np.unique(y[keep].astype(np.int64) * len(self.texts) + x[keep])
+
+
+def _blocks(texts: DataFrame, least: int) -> list[list[str]]:
+    """The files of a stored table of texts, put together to blocks of about BLOCK characters, or fewer where that gives at least so many blocks."""
+    files = texts.groupBy(F.input_file_name().alias("path")).agg(F.sum(F.length("text").cast("bigint")).alias("n")).orderBy("path").collect()
+    most = min(BLOCK, sum(f["n"] for f in files) // least)
+    blocks: list[list[str]] = []
+    held = most
+    for f in files:
+        if not blocks or held + f["n"] > most:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(f["path"])
+        held += f["n"]
+    return blocks
 
 
 def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs of (key, text) whose shingle sets reach the threshold, exactly.
 
-    Prefix filtering: with the shingles of each text in order of rarity, two
-    similar texts share one of their rarest n - ceil(threshold * n) + 1, so
-    only those are joined, and pairs of too different sizes are left out. Any
-    order will do that is the same for all texts; this one goes by a sketch of
-    fixed size, so no shingle is shuffled to be ranked. Shingles are compared
-    by 64-bit hashes.
+    Only the texts are stored. They are cut into blocks, and every two blocks
+    meet in a task that reads both from the shared folder, so neither shingles
+    nor candidates are written or shuffled. Within a task, prefix filtering:
+    with the shingles of each text in order of rarity, two similar texts share
+    one of their rarest n - ceil(threshold * n) + 1. What meets so goes on if
+    sizes, the places of the shared shingle and a bitmap of each text leave
+    room for enough shared shingles, and is compared on the shingles
+    themselves. Each block is read once for every other one.
     """
     spark = texts.sparkSession
-    sets = materialize(_shingle_sets(texts, k), "jaccard-sets")
-    rarity = spark.sparkContext.broadcast(_rarity(sets))
-
-    def rarest(batches):
+    known = materialize(texts.filter((F.length("text") >= k) & F.col("key").isNotNull()).select("key", "text"), "jaccard-texts", maxRecordsPerFile=FILE_ROWS, compression="zstd")
+    cores = spark.sparkContext.defaultParallelism
+    blocks = _blocks(known, cores)
+    starts = np.cumsum([0, *range(len(blocks), 0, -1)])  # meetings of block 0, of block 1 with those from 1 on, ...
+    meetings = int(starts[-1])
+
+    def read(i: int) -> _Block:
+        tables = [pq.read_table(path, filesystem=fs, columns=["key", "text"]) for fs, path in map(FileSystem.from_uri, blocks[i])]
+        return _Block([x for t in tables for x in t["key"].to_pylist()], [x for t in tables for x in t["text"].to_pylist()], k, threshold)
+
+    def meet_blocks(batches):
+        held, at = None, -1
         for batch in batches:
-            keys, lists = batch.column("key"), batch.column("s")
-            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            often = rarity.value[_counter(flat)]
-            parts, sizes = [], np.diff(ends)
-            for a, b, n in zip(ends, ends[1:], sizes.tolist()):
-                first = np.lexsort((flat[a:b], often[a:b]))[: n - int(np.ceil(n * threshold - 1e-9)) + 1] + a
-                parts.append(first[often[first] > 1])  # what one text alone holds meets nothing
-            at = np.concatenate([*parts, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(sizes[owner], pa.int32()), pa.array(flat[at], pa.int64())], names=["key", "n", "h"])
-
-    prefix = materialize(sets.mapInArrow(rarest, "key string, n int, h bigint"), "jaccard-prefix")
-    near = (F.col("n_x") >= F.col("n_y") * threshold - 1e-9) & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9)
-    met = pairs_within(prefix, "h", "key", ["n"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = met.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    scored = both.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).withColumn("jaccard", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))
-    return scored.filter(F.col("jaccard") >= threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+            for m in batch.column(0).to_pylist():
+                i = int(np.searchsorted(starts, m, side="right")) - 1
+                if at != i:
+                    held, at = read(i), i
+                    held.index()
+                j = i + m - int(starts[i])
+                found = list(held.similar(held if i == j else read(j)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "jaccard"])
+
+    tasks = min(meetings, max(4 * cores, meetings // 4))
+    pairs = spark.range(0, meetings, 1, max(1, tasks)).mapInArrow(meet_blocks, "a string, b string, jaccard double")
+    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))

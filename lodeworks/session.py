@@ -51,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as a table into the shared folder, with the writer's options, and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what lies
     before, and tables read several times are computed once. The files go
@@ -60,7 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from lodeworks.functions.hashing import char_shingles, distinct
 from lodeworks.functions.text import normalised, tokens, word_count
 from lodeworks.functions.words import ITALIAN, stem_italian, stemmed, without
 from lodeworks.operators import ads, baskets, cluster, search, shingles, songs
+from lodeworks.session import shared_dir
 from lodeworks.sources import tables
 
 
@@ -138,6 +141,50 @@ def test_jaccard_against_brute_force(spark):
     assert got == {(a, b) for a in keys for b in keys if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+def edited_texts(n, seed):
+    """Texts of few words and very different length, of which many are edits of one another."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(n):
+        base = texts[rng.integers(len(texts))].split(" ") if i % 3 else list(rng.choice([f"parola{w}" for w in range(40)], rng.integers(3, 60)))
+        for _ in range(rng.integers(0, 4)):
+            base[rng.integers(len(base))] = f"parola{rng.integers(60)}"
+        texts.append(" ".join(base[: rng.integers(max(2, len(base) - 6), len(base) + 1)]))
+    return list(dict.fromkeys(t for t in texts if len(t) >= 10))
+
+
+def brute_force(texts, threshold):
+    sets = [{t[i : i + 10] for i in range(len(t) - 9)} for t in texts]
+    return {(min(f"k{i}", f"k{j}"), max(f"k{i}", f"k{j}")) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("bits", [3, 8, 22])
+def test_blocks_of_texts_meet_exactly(monkeypatch, threshold, bits):
+    """Also where nearly all shingles fall on one another, and whatever is held at a time."""
+    for name, value in (("BUCKET_BITS", bits), ("BUCKETS", 1 << bits), ("CHUNK", 700), ("MEETINGS", 50), ("HELD_SETS", 3)):
+        monkeypatch.setattr(shingles, name, value)
+    texts = edited_texts(120, bits)
+    keys = [f"k{i}" for i in range(len(texts))]
+    one, two = (shingles._Block(keys[cut], texts[cut], 10, threshold) for cut in (slice(0, 70), slice(70, None)))
+    one.index()
+    two.index()
+    got = [x[:2] for x in (*one.similar(one), *one.similar(two), *two.similar(two))]
+    assert len(got) == len(set(got)) and set(got) == brute_force(texts, threshold)
+
+
+def test_jaccard_stores_only_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 20_000, raising=False)
+    monkeypatch.setattr(shingles, "FILE_ROWS", 30, raising=False)
+    texts = edited_texts(400, 1)
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "key string, text string")
+    held = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = held()
+    got = [tuple(r)[:2] for r in shingles.jaccard_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_force(texts, 0.8)
+    assert held() - before < sum(map(len, texts))  # shingles or candidates would take many times that
+
+
 def test_clusters(spark):
     points = cluster.synthetic_points(spark, 4, 25, 3)
     assert points.count() == 100 and len(points.first()["vector"]) == 7

@@ -24,6 +24,8 @@ from lodeworks.session import materialize, partitions_for
 SHINGLE, HASHES, LEAST_EQUAL = 10, 10, 8
 #: Groups of hashes of which one at least is equal throughout if no more than HASHES - LEAST_EQUAL hashes differ.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))
+#: Shingles whose salted hashes a task keeps, of some 240 bytes each.
+HELD_TAILS = 400_000
 #: Characters of a block of texts that the exact join holds at a time, of a chunk that is hashed at once, and texts of a stored file.
 BLOCK, CHUNK, FILE_ROWS = 24_000_000, 250_000, 4000
 #: Buckets that shingles fall on when rare ones are looked for, cells of a text's bitmap (both as powers of two), and meetings that are looked at together.
@@ -72,10 +74,21 @@ def signatures(texts: DataFrame) -> DataFrame:
     """(key, signature) of (key, text): for i in 0..9 the least last-ten-hex of sha1(sha1(shingle) + i as twenty digits).
 
     Texts go through in chunks; a shingle that many texts of a chunk share is
-    hashed once.
+    hashed once, and the first HELD_TAILS shingles of a task, among which are
+    the frequent ones, are hashed once a task.
     """
 
     def sign(batches):
+        known: dict[str, bytes] = {}
+
+        def tails(shingle: str) -> bytes:
+            found = known.get(shingle)
+            if found is None:
+                found = _tails(shingle)
+                if len(known) < HELD_TAILS:
+                    known[shingle] = found
+            return found
+
         for batch in batches:
             keys, all_texts = batch["key"].tolist(), batch["text"].tolist()
             for start, end in in_chunks(all_texts, 500_000):
@@ -84,7 +97,7 @@ def signatures(texts: DataFrame) -> DataFrame:
                 for text in all_texts[start:end]:
                     cut = {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
                     places.append([numbers.setdefault(s, len(numbers)) for s in cut])
-                raw = np.frombuffer(b"".join(map(_tails, numbers)), dtype=np.uint8).reshape(-1, HASHES, 5).astype(np.uint64)
+                raw = np.frombuffer(b"".join(map(tails, numbers)), dtype=np.uint8).reshape(-1, HASHES, 5).astype(np.uint64)
                 values = (raw << np.arange(32, -1, -8, dtype=np.uint64)).sum(axis=2)
                 least = np.minimum.reduceat(values[np.concatenate(places)], np.cumsum([0, *map(len, places)])[:-1], axis=0)
                 yield pd.DataFrame({"key": keys[start:end], "signature": [[f"{v:010x}" for v in row] for row in least.tolist()]})

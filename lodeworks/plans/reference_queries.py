@@ -187,8 +187,10 @@ def jaccard_exact(spark, sf_dir):
 
 
 def lsh_recall(spark, sf_dir):
-    found = lsh_duplicates(spark, sf_dir).withColumn("lsh", F.lit(1))
-    exact = shingles.later_copies(jaccard_exact(spark, sf_dir), _shingled_members(spark, sf_dir)).withColumn("exact", F.lit(1))
+    texts, members = materialize(_distinct_ads(spark, sf_dir), "distinct-ads", compression="zstd"), _shingled_members(spark, sf_dir)
+    signed = materialize(shingles.signatures(texts), "signatures")
+    found = shingles.later_copies(shingles.lsh_pairs(signed), members).withColumn("lsh", F.lit(1))
+    exact = shingles.later_copies(shingles.jaccard_pairs(texts), members).withColumn("exact", F.lit(1))
     both = found.join(exact, "key", "full").select(F.coalesce("lsh", F.lit(0)).alias("lsh"), F.coalesce("exact", F.lit(0)).alias("exact"))
     return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in ((F.col("lsh"), "n_lsh"), (F.col("exact"), "n_exact"), (F.col("lsh") * F.col("exact"), "n_both"))))
 

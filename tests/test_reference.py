@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,6 +106,25 @@ def test_shingles_signatures_and_pairs(spark):
     assert shingles.jaccard_pairs(once.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kept", [0, 50, 10**6])
+def test_signatures_of_many_chunks(spark, monkeypatch, kept):
+    """A shingle of earlier chunks is hashed once, as far as a task keeps it, and the signatures stay."""
+    monkeypatch.setattr(shingles, "HELD_TAILS", kept, raising=False)
+    hashed = []
+    monkeypatch.setattr(shingles, "_tails", lambda s, tails=shingles._tails: hashed.append(s) or tails(s))
+    monkeypatch.setattr(shingles, "in_chunks", lambda texts, characters: ((i, i + 1) for i in range(len(texts))))
+    texts = {f"k{i}": t for i, t in enumerate(edited_texts(30, 2))}
+
+    class Held:  # runs in this process
+        def mapInPandas(self, sign, _):
+            return [r for out in sign([pd.DataFrame({"key": list(texts), "text": list(texts.values())})]) for r in zip(out["key"], out["signature"])]
+
+    monkeypatch.setattr(shingles, "_dealt", lambda *_: Held())
+    assert dict(shingles.signatures(None)) == {k: naive_signature(t) for k, t in texts.items()}
+    if kept > 50:
+        assert len(hashed) == len(set(hashed))
+
+
 def test_duplicates_count_copies(spark):
     base = "il palazzo degli anni settanta ha un cortile e una rampa per le auto dei condomini"
     rows = [("b", base), ("e", base), ("d", base + "!"), ("a", base + "!"), ("f", base + "!"), ("z", "un testo solo che non somiglia agli altri"), ("c", None)]
